@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmlblocks import extract_main_text
+
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -16,14 +30,33 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imi import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     return mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gam import score_quality, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op5_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_sharding, op4_nearest, op5_mixing, op6_quality, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
