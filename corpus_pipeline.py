@@ -1,11 +1,67 @@
-"""A corpus pipeline: five stages over the documents table, each written and read again."""
+"""A corpus pipeline over the documents table.
 
-STAGES = []
+Five stages, each a corpus operator whose decisions take effect: documents
+scored toxic go, one document of each near-duplicate component stays,
+documents that hold benchmark items go, sources are mixed to target weights
+(a document may be taken twice), and what is left is placed in shards.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslab.llm import mixing, neardup, sharding, tiling, toxicity
+from corpuslab.llm.common import read, sized, stored
+
+#: The shards that the last stage fills.
+N_SHARDS = 24
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``gone``; null ids stay."""
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(sized(ids), docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return _without(docs, toxicity.score_toxicity(docs, model).filter("predicted = 1"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, tiling.find_leaks(docs, read(spark, sf_dir, "benchmark")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture_rows(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(docs, N_SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: SQL can express neither the trained classifier nor the drawn mixture.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each one's rows are written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs
