@@ -42,6 +42,11 @@ MASK = "<mask>"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is evaluated once, however often ``fn`` and its lambdas name it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -158,9 +163,7 @@ def token_count(text: Column) -> Column:
 
 def mask_ratio(masked: Column) -> Column:
     """The share of whitespace tokens that are exactly the mask."""
-    tokens = whitespace_tokens(masked)
-    hits = F.size(F.filter(tokens, lambda w: w == MASK))
-    return F.when(F.size(tokens) > 0, hits / F.size(tokens)).otherwise(F.lit(0.0))
+    return let(whitespace_tokens(masked), lambda t: F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: w == MASK)) / F.size(t)).otherwise(F.lit(0.0)))
 
 
 def is_heading(sentence: Column) -> Column:

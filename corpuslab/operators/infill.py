@@ -14,9 +14,8 @@ STRATEGIES = ("greedy", "top_k", "top_p", "top_k_top_p", "temperature")
 def bigram_model(sentences: DataFrame, text_col: str = "sentence", top: int = 50) -> DataFrame:
     """``prev, cands``: each word's most frequent followers with their probabilities (ties by token)."""
     tokens = T.whitespace_tokens(F.lower(text_col))
-    pairs = sentences.select(F.concat(F.array(F.lit(START)), tokens).alias("t")).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("prev"), F.element_at("t", i + 1).alias("token")))).alias("p")
-    )
+    both = T.let(F.concat(F.array(F.lit(START)), tokens), lambda t: F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.struct(a.alias("prev"), b.alias("token"))))
+    pairs = sentences.select(F.explode(both).alias("p"))
     counts = pairs.select("p.*").groupBy("prev", "token").agg(F.count("*").alias("c"))
     return _ranked(counts, top)
 
@@ -49,7 +48,7 @@ def restrict(cands: Column, *, top_k: int | None = None, top_p: float | None = N
 
     The nucleus holds the first candidates until their sum reaches ``top_p``.
     """
-    norm = lambda x: F.transform(x, lambda c: F.struct((c["p"] / _total(x)).alias("p"), c["token"].alias("token")))
+    norm = lambda x: T.let(x, lambda y: T.let(_total(y), lambda t: F.transform(y, lambda c: F.struct((c["p"] / t).alias("p"), c["token"].alias("token")))))
     out = cands
     if temperature != 1.0:
         out = norm(F.transform(out, lambda c: F.struct(F.pow(c["p"], F.lit(1.0 / temperature)).alias("p"), c["token"].alias("token"))))
@@ -57,8 +56,8 @@ def restrict(cands: Column, *, top_k: int | None = None, top_p: float | None = N
         out = norm(F.slice(out, 1, top_k))
     if top_p is not None:
         zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-        size = F.aggregate(out, zero, lambda a, c: F.when(a["s"] < top_p - 1e-12, F.struct((a["s"] + c["p"]).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a))["n"]
-        out = norm(F.slice(out, F.lit(1), size))
+        size = lambda x: F.aggregate(x, zero, lambda a, c: F.when(a["s"] < top_p - 1e-12, F.struct((a["s"] + c["p"]).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a))["n"]
+        out = norm(T.let(out, lambda x: F.slice(x, F.lit(1), size(x))))
     return out
 
 
@@ -67,8 +66,8 @@ def pick(cands: Column, u: Column | None = None) -> Column:
     if u is None:
         return F.get(cands, F.lit(0))
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    at = F.aggregate(cands, zero, lambda a, c: F.when(a["s"] + c["p"] <= u, F.struct((a["s"] + c["p"]).alias("s"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(2.0).alias("s"), a["n"].alias("n"))))["n"]
-    return F.get(cands, F.least(at, F.size(cands) - 1))
+    step = lambda a, c: F.when(a["s"] + c["p"] <= u, F.struct((a["s"] + c["p"]).alias("s"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(2.0).alias("s"), a["n"].alias("n")))
+    return T.let(cands, lambda x: F.get(x, F.least(F.aggregate(x, zero, step)["n"], F.size(x) - 1)))
 
 
 def choose(cands: Column, strategy: str = "greedy", u: Column | None = None, *, top_k: int = 10, top_p: float = 0.9, temperature: float = 1.0) -> Column:
@@ -100,9 +99,9 @@ def fill_masks(pairs: DataFrame, bigrams: DataFrame, unigrams: DataFrame, *, id_
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    x, y = (F.array_distinct(T.whitespace_tokens(F.lower(c))) for c in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
+    words = lambda c: F.array_distinct(T.whitespace_tokens(F.lower(c)))
+    share = lambda x, y: T.let(F.size(F.array_union(x, y)), lambda n: F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(F.lit(0.0)))
+    return T.let(words(a), lambda x: T.let(words(b), lambda y: share(x, y)))
 
 
 def length_ratio(a: Column, b: Column) -> Column:

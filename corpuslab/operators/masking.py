@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 
 
-def tokens_with_offsets(text: Column) -> Column:
-    """``(token, start, end)`` of words and single other signs, white space left out."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]|\s+"), F.lit(0))
-    zero = F.struct(F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
-    fold = F.aggregate(
-        pieces, zero,
-        lambda acc, p: F.struct(
-            F.when(p.rlike(r"(?U)^\s"), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(p.alias("token"), acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"))))).alias("out"),
-            (acc["at"] + F.length(p)).alias("at"),
-        ),
-    )
-    return fold["out"]
+def _pieces(text: Column) -> Column:
+    """Words, single other signs and white space, which together are the text."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]|\s+"), F.lit(0))
+
+
+def _windows(text: Column, lengths: list[int]) -> Column:
+    """``(phrase, start, end, text)`` of all runs of as many tokens as ``lengths`` say."""
+    kind = "array<struct<phrase:string,start:int,end:int,text:string>>"
+
+    def build(pieces: Column, ends: Column, at: Column) -> Column:
+        def of(n: int) -> Column:
+            def window(i: Column) -> Column:
+                own = F.slice(at, i, n)
+                first, last = F.element_at(at, i), F.element_at(at, i + (n - 1))
+                return F.struct(
+                    F.array_join(F.transform(own, lambda k: F.lower(F.element_at(pieces, k))), " ").alias("phrase"), F.element_at(ends, first).alias("start"),
+                    F.element_at(ends, last + 1).alias("end"), F.array_join(F.slice(pieces, first, last - first + 1), "").alias("text"),
+                )
+
+            return F.when(F.size(at) >= n, F.transform(F.sequence(F.lit(1), F.size(at) - (n - 1)), window)).otherwise(F.array().cast(kind))
+
+        return F.flatten(F.array(*[of(n) for n in lengths]))
+
+    def with_pieces(pieces: Column) -> Column:
+        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + F.length(p))))
+        at = F.filter(F.transform(pieces, lambda p, i: F.when(~p.rlike(r"(?U)^\s"), i + 1)), lambda k: k.isNotNull())
+        return T.let(ends, lambda e: T.let(at, lambda k: build(pieces, e, k)))
+
+    return T.let(_pieces(text), with_pieces)
 
 
 def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "paragraph_id", topic_col: str = "topic_id", text_col: str = "paragraph_text") -> DataFrame:
@@ -33,18 +50,9 @@ def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "
     wanted = keywords.select(F.col(topic_col).alias("_topic"), phrase.alias("_phrase")).filter("_phrase <> ''").distinct()
     lengths = [r[0] for r in wanted.select(F.size(F.split("_phrase", " ")).alias("n")).distinct().orderBy("n").limit(64).collect()]
     if not lengths:
-        return paragraphs.select(id_col, topic_col, F.lit(0).alias("start"), F.lit(0).alias("end"), F.col(text_col).alias("text")).limit(0)
-    tokens = paragraphs.select(id_col, topic_col, text_col, tokens_with_offsets(F.col(text_col)).alias("_t"))
-    windows = F.flatten(F.array(*[
-        F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - (n - 1)), lambda i, n=n: F.struct(
-            F.array_join(F.transform(F.slice("_t", i, n), lambda x: F.lower(x["token"])), " ").alias("phrase"),
-            F.element_at("_t", i)["start"].alias("start"), F.element_at("_t", i + (n - 1))["end"].alias("end"),
-        ))).otherwise(F.array().cast("array<struct<phrase:string,start:int,end:int>>"))
-        for n in lengths
-    ]))
-    rows = tokens.select(id_col, topic_col, text_col, F.explode(windows).alias("w"))
-    hit = rows.join(wanted, (F.col(topic_col) == F.col("_topic")) & (F.col("w.phrase") == F.col("_phrase")))
-    return hit.select(id_col, topic_col, F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.substring(F.col(text_col), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))
+        return paragraphs.select(id_col, topic_col, F.lit(0).alias("start"), F.lit(0).alias("end"), F.col(text_col).alias("text")).filter(F.lit(False))
+    rows = paragraphs.select(id_col, topic_col, F.explode(_windows(F.col(text_col), lengths)).alias("w")).select(id_col, topic_col, "w.*")
+    return rows.join(wanted, (F.col(topic_col) == F.col("_topic")) & (F.col("phrase") == F.col("_phrase"))).select(id_col, topic_col, "start", "end", "text")
 
 
 def collect_spans(matches: DataFrame, id_col: str = "paragraph_id", topic_col: str = "topic_id") -> DataFrame:

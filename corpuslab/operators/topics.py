@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions import text as T
+
 NOISE = -1
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """The n-grams of a token array, in order."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return T.let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
 def term_vocabulary(docs: DataFrame, tokens: str = "tokens", *, ngram_range: tuple[int, int] = (1, 3), min_df: int = 3, max_df: float = 0.95, max_features: int = 10_000) -> DataFrame:
     """``term, df, tf`` of the most frequent n-grams within the document frequency bounds."""
     grams = F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(ngram_range[0], ngram_range[1] + 1)]))
     total = docs.agg(F.count("*").alias("_n"))
-    per_doc = docs.select(F.monotonically_increasing_id().alias("_id"), F.explode(grams).alias("term")).groupBy("_id", "term").agg(F.count("*").alias("c"))
-    counts = per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("tf"))
+    each = docs.select(grams.alias("g"))
+    once = each.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = each.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("tf")).join(once, "term").select("term", "df", "tf")
     kept = counts.join(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * F.col("_n"))).drop("_n")
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
 
@@ -128,10 +131,10 @@ def npmi_coherence(docs: DataFrame, keywords: DataFrame, *, tokens: str = "token
     """Mean NPMI of each topic's pairs of top words over documents (-1 for words that never meet)."""
     words = keywords.filter(F.col("rank") <= top).select(topic, word)
     n = docs.agg(F.count("*").alias("_n"))
-    listed = docs.select(F.monotonically_increasing_id().alias("_d"), F.explode(F.array_distinct(tokens)).alias(word)).join(F.broadcast(words.select(word).distinct()), word)
-    df = listed.groupBy(word).agg(F.count("*").alias("df"))
+    vocabulary = words.agg(F.collect_set(word).alias("_v"))
+    sets = docs.join(F.broadcast(vocabulary)).select(F.array_sort(F.array_intersect(tokens, "_v")).alias("s"))
+    df = sets.select(F.explode("s").alias(word)).groupBy(word).agg(F.count("*").alias("df"))
     pairs = words.alias("a").join(words.alias("b"), F.col(f"a.{topic}") == F.col(f"b.{topic}")).filter(F.col(f"a.{word}") < F.col(f"b.{word}")).select(F.col(f"a.{topic}").alias(topic), F.col(f"a.{word}").alias("w1"), F.col(f"b.{word}").alias("w2"))
-    sets = listed.groupBy("_d").agg(F.array_sort(F.collect_set(word)).alias("s"))
     both = sets.select(F.explode("s").alias("w1"), "s").select("w1", F.explode(F.filter("s", lambda x: x > F.col("w1"))).alias("w2")).groupBy("w1", "w2").agg(F.count("*").alias("c"))
     rated = (
         pairs.join(both, ["w1", "w2"], "left").join(df.select(F.col(word).alias("w1"), F.col("df").alias("d1")), "w1").join(df.select(F.col(word).alias("w2"), F.col("df").alias("d2")), "w2").join(F.broadcast(n))
@@ -146,8 +149,8 @@ def c_v_coherence(docs: DataFrame, keywords: DataFrame, *, tokens: str = "tokens
     eps = 1e-12
     words = keywords.filter(F.col("rank") <= top).select(topic, word)
     vocabulary = words.agg(F.collect_set(word).alias("_v"))
-    n_windows = F.greatest(F.size(tokens) - (window - 1), F.lit(1))
-    sets = docs.join(F.broadcast(vocabulary)).select(F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.array_sort(F.array_intersect(F.slice(F.col(tokens), i, window), "_v"))).alias("w"))
+    windows = T.let(F.col(tokens), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (window - 1), F.lit(1))), lambda i: F.array_sort(F.array_intersect(F.slice(t, i, window), "_v"))))
+    sets = docs.join(F.broadcast(vocabulary)).select(windows.alias("w"))
     total = sets.agg(F.sum(F.size("w")).alias("_n"))
     kept = sets.select(F.explode("w").alias("s")).filter(F.size("s") > 0).groupBy("s").agg(F.count("*").alias("c"))
     one = kept.select(F.explode("s").alias("a"), "s", "c")

@@ -471,7 +471,7 @@ def q_topic_diversity(spark, sf_dir):
     return topics.topic_diversity(keywords(spark, sf_dir), 5)
 
 
-@query(f"WITH {KEYWORDS}, c AS (SELECT topic_id, count(*) AS count FROM tok GROUP BY 1) SELECT topic_id, count, topic_id || '_' || string_agg(word, '_' ORDER BY rank) AS name FROM kw JOIN c USING (topic_id) WHERE rank <= 4 GROUP BY ALL")
+@query(f"WITH {KEYWORDS}, c AS (SELECT topic_id, count(*) AS count FROM tok GROUP BY 1) SELECT topic_id, count, topic_id || '_' || w AS name FROM (SELECT topic_id, string_agg(word, '_' ORDER BY rank) AS w FROM kw WHERE rank <= 4 GROUP BY 1) JOIN c USING (topic_id)")
 def q_topic_info(spark, sf_dir):
     return topics.topic_info(topic_docs(spark, sf_dir), keywords(spark, sf_dir))
 
@@ -568,7 +568,8 @@ def masked(spark: SparkSession, sf_dir: str, variants: int = 6) -> DataFrame:
     return masking.mask_variants(docs.join(spans, "doc_id", "left"), id_col="doc_id", variants=variants)
 
 
-VARIANTS = f"""{ONE_WORD}, cnt AS (SELECT tok.doc_id, tok.topic_id, tok.text, count(mt.s) AS ns, least(greatest(1, round(sqrt(len(regexp_extract_all(tok.text, '\\S+'))))::INTEGER), count(mt.s)) AS most FROM tok LEFT JOIN mt ON mt.doc_id = tok.doc_id GROUP BY ALL),
+VARIANTS = f"""{ONE_WORD}, cn AS (SELECT tok.doc_id, tok.topic_id, tok.text, count(mt.s) AS ns FROM tok LEFT JOIN mt ON mt.doc_id = tok.doc_id GROUP BY tok.doc_id, tok.topic_id, tok.text),
+cnt AS (SELECT *, least(greatest(1, round(sqrt(len(regexp_extract_all(text, '\\S+'))))::INTEGER), ns) AS most FROM cn),
 vr AS (SELECT doc_id, topic_id, text, v.v::INTEGER AS variant_no, ns, 1 + ('0x' || substr(md5('42|' || doc_id || '|' || v.v || '|k'), 1, 8))::BIGINT % greatest(most, 1) AS k FROM cnt, range(1, 7) v(v) WHERE ns > 0 OR v.v = 1),
 ch AS (SELECT vr.doc_id, vr.variant_no, mt.s, mt.e FROM vr JOIN mt ON mt.doc_id = vr.doc_id QUALIFY row_number() OVER (PARTITION BY vr.doc_id, vr.variant_no ORDER BY md5('42|' || vr.doc_id || '|' || vr.variant_no || '|' || mt.s)) <= vr.k),
 gp AS (SELECT doc_id, variant_no, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id, variant_no ORDER BY s), 0) AS b FROM ch),
