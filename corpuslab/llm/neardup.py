@@ -10,6 +10,8 @@ from .common import checkpoint, map_rows, mix, shingle_hashes, sized
 
 #: 26 bands of 5 coordinates: at similarity 0.85 a pair shares no band with probability 3e-7.
 BANDS, ROWS = 26, 5
+#: Pairs that agree in fewer coordinates than this aren't verified across components: at similarity 0.85 that has probability 1e-6.
+LEAST_AGREEING = 90
 #: Groups of equal sets beyond this share of the rows are joined by broadcast; there can't be more of them.
 HEAVY_SHARE = 1000
 #: Pairs of one hub that a join task may meet.
@@ -44,11 +46,11 @@ def sketch(items: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def band_keys(items: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key for each band of the set's sketch."""
-    coords, keys = sketch(items, bands * rows).reshape(bands, rows), _seeds(bands, 1 << 20)
+def band_keys(coords: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """One 64-bit key for each band of a sketch."""
+    coords, keys = coords.reshape(bands, -1), _seeds(bands, 1 << 20)
     with np.errstate(over="ignore"):
-        for r in range(rows):
+        for r in range(coords.shape[1]):
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + coords[:, r])
     return keys
 
@@ -60,15 +62,19 @@ def _fingerprint(items: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``doc_id, n_shingles, fa, fb, bands``: size, 128-bit fingerprint and band keys of each row's shingle set."""
+    """``doc_id, n_shingles, fa, fb, bands, coords``: size, 128-bit fingerprint,
+    band keys and the sketch's coordinates (a byte of each) of each row's shingle set."""
 
     def run(columns: list) -> list:
         sets = [shingle_hashes(t, width) for t in columns[1]]
         prints = [_fingerprint(s) for s in sets]
-        return [columns[0], [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [band_keys(s).view(np.int64).tolist() if len(s) else [] for s in sets]]
+        sketches = [sketch(s) if len(s) else None for s in sets]
+        keys = [[] if k is None else band_keys(k).view(np.int64).tolist() for k in sketches]
+        coords = [[] if k is None else k.astype(np.uint8).view(np.int8).tolist() for k in sketches]
+        return [columns[0], [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], keys, coords]
 
     kind = dict(docs.dtypes)[id_col]
-    return map_rows(docs.select(id_col, F.col(text_col).cast("binary")), run, f"doc_id {kind}, n_shingles long, fa long, fb long, bands array<long>")
+    return map_rows(docs.select(id_col, F.col(text_col).cast("binary")), run, f"doc_id {kind}, n_shingles long, fa long, fb long, bands array<long>, coords array<tinyint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -127,12 +133,13 @@ def _could_link(a: Column, b: Column, na: Column, nb: Column, percent: int) -> C
     return (100 + percent) * F.least(a, b) >= percent * (na + nb)
 
 
-def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and may still be linked.
 
     A shingle that occurs in one component only can't be shared with another.
     Without those, most members are too small for any partner; the few that
-    are left meet inside their buckets, under the same bound.
+    are left meet inside their buckets, under the same bound; a pair only comes
+    out of the first bucket it shares, and if its sketches agree well enough.
     """
     live = _with_root(members, roots, "rep")
     mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
@@ -146,10 +153,13 @@ def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int)
     free = reps.join(own, "rep", "left").select("rep", (F.col("n") - F.coalesce("own", F.lit(0))).alias("t"))
     live = checkpoint(live.join(free.filter("t > 0"), "rep").filter(100 * F.col("t") >= percent * F.col("n")))
     mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    a = live.join(mixed, "key")
-    b = a.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "t", "root")])
+    sketches = classes.groupBy("rep").agg(F.min(F.struct("fa", "bands", "coords")).alias("x")).select("rep", "x.bands", "x.coords")
+    a = live.join(mixed, "key").join(sketches, "rep")
+    b = a.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "t", "root", "bands", "coords")])
+    first = F.get(F.filter(F.zip_with("bands", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
+    agree = F.aggregate(F.zip_with("coords", "coords_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= LEAST_AGREEING
     near = _could_link(F.col("t"), F.col("t_b"), F.col("n"), F.col("n_b"), percent)
-    return a.join(b, "key").filter((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b")) & near).select(F.col("rep").alias("hub"), F.col("rep_b").alias("rep")).distinct()
+    return a.join(b, "key").filter((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b")) & near & first & agree).select(F.col("rep").alias("hub"), F.col("rep_b").alias("rep")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, id_co
     """
     sig = checkpoint(signatures(docs, id_col, text_col, width))
     usable = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = checkpoint(usable.groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bands").alias("bands")))
+    classes = checkpoint(usable.groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bands").alias("bands"), F.first("coords").alias("coords")))
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     members = checkpoint(buckets.join(crowded, "key").distinct())
@@ -188,16 +198,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, id_co
     star = members.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & _could_link(F.col("n"), F.col("hub_n"), F.col("n"), F.col("hub_n"), percent)).select("hub", "rep").distinct()
     links = checkpoint(verify(star, sets, percent)).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     roots = checkpoint(components(links))
-    more = checkpoint(verify(checkpoint(_across(members.drop("c"), sets, roots, percent)), sets, percent)).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+    more = checkpoint(verify(checkpoint(_across(members.drop("c"), classes, sets, roots, percent)), sets, percent)).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
     if not more.isEmpty():
         roots = checkpoint(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
-    named = checkpoint(_with_root(classes.drop("bands"), roots, "rep"))
+    named = checkpoint(_with_root(classes.drop("bands", "coords"), roots, "rep"))
     least = max(1, sig.count() // HEAVY_SHARE)
     heavy = F.broadcast(named.filter(F.col("members") > least).select("fa", "fb", "n_shingles", "root"))
     on = ["fa", "fb", "n_shingles"]
-    usable = usable.drop("bands")
+    usable = usable.drop("bands", "coords")
     placed = usable.join(heavy, on).unionByName(usable.join(heavy, on, "left_anti").join(named.filter(F.col("members") <= least).select(*on, "root"), on))
-    rest = sig.filter("n_shingles = 0 or doc_id is null").drop("bands").withColumn("root", F.col("doc_id"))
+    rest = sig.filter("n_shingles = 0 or doc_id is null").drop("bands", "coords").withColumn("root", F.col("doc_id"))
     every = placed.unionByName(rest)
     return every.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("root")).alias("kept"))
 
