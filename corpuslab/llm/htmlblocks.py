@@ -23,6 +23,7 @@ _BLOCK = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr",
     "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SPACED = {"br", "td", "th", "wbr"}
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "embed"}
 _MARKED = {"article", "main"}
@@ -41,6 +42,7 @@ class Line:
     text: str
     linked: int
     marked: bool
+    heading: bool = False
 
 
 def _clutter(name: str, attrs: str) -> bool:
@@ -69,7 +71,7 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
     """A page's text as lines, one a block; ``gap`` empty lines stand where an element was removed."""
     lines: list[Line] = []
     parts: list[str] = []
-    state = {"linked": 0}
+    state = {"linked": 0, "block": ""}
     open_marks: list[str] = []
     skip: list | None = None  # [name, depth, len(lines), named by class only]
     in_link, at, size = 0, 0, len(page)
@@ -77,7 +79,7 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, state["linked"], bool(open_marks)))
+            lines.append(Line(text, state["linked"], bool(open_marks), state["block"] in _HEADINGS))
         parts.clear()
         state["linked"] = 0
 
@@ -107,18 +109,19 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
         if skip is not None:
             if skip[2] and not closing and name in _MARKED and not _clutter(name, attrs):
                 skip = None  # it only wraps the article, whatever its class says
-            elif name == skip[0]:
-                skip[1] += -1 if closing else 0 if name in ("p", "li") else 1
+            elif name == skip[0] and (closing or name not in ("p", "li")):
+                skip[1] += -1 if closing else 1
                 if skip[1] == 0:
                     skip = None
                 continue
-            elif skip[0] == "p" and name in _BLOCK or skip[0] == "head" and name == "body" or closing and name in _MARKED and open_marks:
+            elif name == skip[0] or skip[0] == "p" and name in _BLOCK or skip[0] == "head" and name == "body" or closing and name in _MARKED and open_marks:
                 skip = None
             else:
                 continue
         if closing:
             if name in _BLOCK:
                 flush()
+                state["block"] = ""
             elif name in _SPACED:
                 parts.append(" ")
             if name == "a":
@@ -135,6 +138,7 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
             continue
         if name in _BLOCK:
             flush()
+            state["block"] = name
         elif name in _SPACED:
             parts.append(" ")
         if name == "a":
@@ -149,8 +153,9 @@ def main_lines(lines: list[Line], window: int = 3, surge: int = 86) -> list[str]
     """The lines between surge and dive points of the line-block distribution.
 
     A block is ``window`` successive lines; its size is their length without
-    linked text.  Text surges at a line where the block exceeds ``surge`` and
-    dives where it becomes empty.  Where markup names the article, lines
+    linked text, and a line that is all links counts as empty.  Text surges at
+    a line where the block exceeds ``surge``, past short lines without which it
+    still does (but for headings), and dives where it becomes empty.  Where markup names the article, lines
     outside it count as empty, linked text counts and any text surges.  If no
     block of an unmarked page is large, any text surges too.
     """
@@ -160,11 +165,12 @@ def main_lines(lines: list[Line], window: int = 3, surge: int = 86) -> list[str]
     for least in (0,) if marked else (surge, 0):
         out, i = [], 0
         while i < len(lines):
-            if not sizes[i] or blocks[i] <= least:
+            lead = sizes[i] < least and not lines[i].heading and sum(sizes[i + 1 : i + window]) > least
+            if not sizes[i] or blocks[i] <= least or lead:
                 i += 1
                 continue
             while i < len(lines) and blocks[i] > 0:
-                if lines[i].text and (lines[i].marked or not marked):
+                if sizes[i]:
                     out.append(lines[i].text)
                 i += 1
         if out:
