@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]|\s+"), F.lit(0))
 
 
-def _windows(text: Column, lengths: list[int]) -> Column:
+def _windows(text: Column, lengths: Sequence[int]) -> Column:
     """``(phrase, start, end, text)`` of all runs of as many tokens as ``lengths`` say."""
     kind = "array<struct<phrase:string,start:int,end:int,text:string>>"
 
@@ -39,16 +41,18 @@ def _windows(text: Column, lengths: list[int]) -> Column:
     return T.let(_pieces(text), with_pieces)
 
 
-def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "paragraph_id", topic_col: str = "topic_id", text_col: str = "paragraph_text") -> DataFrame:
+def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "paragraph_id", topic_col: str = "topic_id", text_col: str = "paragraph_text", lengths: Sequence[int] | None = None) -> DataFrame:
     """All occurrences of a topic's keywords in its paragraphs: ``id, topic, start, end, text``.
 
     Tokens are compared in small letters; keywords may have several tokens and
     occurrences may overlap.  Each paragraph emits its windows of the lengths
     that keywords have and meets them by an equi-join on topic and phrase.
+    ``lengths`` names these where they are known, which saves a job.
     """
     phrase = F.array_join(F.regexp_extract_all(F.lower("word"), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)), " ")
     wanted = keywords.select(F.col(topic_col).alias("_topic"), phrase.alias("_phrase")).filter("_phrase <> ''").distinct()
-    lengths = [r[0] for r in wanted.select(F.size(F.split("_phrase", " ")).alias("n")).distinct().orderBy("n").limit(64).collect()]
+    if lengths is None:
+        lengths = [r[0] for r in wanted.select(F.size(F.split("_phrase", " ")).alias("n")).distinct().orderBy("n").collect()]
     if not lengths:
         return paragraphs.select(id_col, topic_col, F.lit(0).alias("start"), F.lit(0).alias("end"), F.col(text_col).alias("text")).filter(F.lit(False))
     rows = paragraphs.select(id_col, topic_col, F.explode(_windows(F.col(text_col), lengths)).alias("w")).select(id_col, topic_col, "w.*")

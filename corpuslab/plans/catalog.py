@@ -548,7 +548,7 @@ mt AS (SELECT DISTINCT wn.doc_id, wn.topic_id, s::INTEGER AS s, e::INTEGER AS e
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.match_phrases(topic_docs(spark, sf_dir), keywords(spark, sf_dir), id_col="doc_id", text_col="text")
+    return masking.match_phrases(topic_docs(spark, sf_dir), keywords(spark, sf_dir), id_col="doc_id", text_col="text", lengths=(1, 2))
 
 
 @query(f'WITH {MATCHES} SELECT mt.doc_id, mt.topic_id, s AS start, e AS "end", substr(tok.text, s + 1, e - s) AS text FROM mt JOIN tok ON tok.doc_id = mt.doc_id')
@@ -563,7 +563,7 @@ ONE_WORD = MATCHES.replace("kw.word = wn.phrase)", "kw.word = wn.phrase AND NOT
 def masked(spark: SparkSession, sf_dir: str, variants: int = 6) -> DataFrame:
     docs = topic_docs(spark, sf_dir).select("doc_id", "topic_id", F.col("text").alias("paragraph_text"))
     words = keywords(spark, sf_dir).filter("not contains(word, ' ')")
-    found = masking.collect_spans(masking.match_phrases(docs, words, id_col="doc_id"), "doc_id")
+    found = masking.collect_spans(masking.match_phrases(docs, words, id_col="doc_id", lengths=(1,)), "doc_id")
     spans = found.select("doc_id", masking.choose_spans(F.col("spans")).alias("spans"))
     return masking.mask_variants(docs.join(spans, "doc_id", "left"), id_col="doc_id", variants=variants)
 
@@ -645,7 +645,7 @@ def _draws(spark: SparkSession, sf_dir: str, strategy: str, **params) -> DataFra
 def _drawn_sql(weight: str, keep: str = "true") -> str:
     """Renormalise ``weight`` over the kept candidates and take the first whose running sum passes the draw."""
     return f"""WITH {BIGRAMS}, w AS (SELECT prev, token, r, {weight} AS w FROM lm), nn AS (SELECT *, w / sum(w) OVER (PARTITION BY prev) AS q FROM w),
-ru AS (SELECT *, sum(q) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS cum FROM nn), kp AS (SELECT * FROM ru WHERE {keep}),
+ru AS (SELECT *, sum(q) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS cw FROM nn), kp AS (SELECT * FROM ru WHERE {keep}),
 fi AS (SELECT *, q / sum(q) OVER (PARTITION BY prev) AS f FROM kp), fc AS (SELECT *, sum(f) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS fcum, max(r) OVER (PARTITION BY prev) AS last FROM fi)
 SELECT prev, token, round(f, 6) AS p FROM fc WHERE fcum > {DRAW} OR r = last QUALIFY row_number() OVER (PARTITION BY prev ORDER BY r) = 1"""
 
@@ -665,7 +665,7 @@ def q_fill_top_k(spark, sf_dir):
     return _draws(spark, sf_dir, "top_k", top_k=5)
 
 
-@query()
+@query(_drawn_sql("p", "cw - w < 0.7::DOUBLE - 1e-12::DOUBLE"))
 def q_fill_top_p(spark, sf_dir):
     return _draws(spark, sf_dir, "top_p", top_p=0.7)
 
@@ -719,7 +719,9 @@ def q_probe_word_contents(spark, sf_dir):
     return probing.word_contents(sentences(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SENTENCES}, t AS (SELECT sentence_id, regexp_extract_all(sentence, '\\S+') AS t FROM sent), k AS (SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM t) GROUP BY 1),
+sw AS (SELECT w, lead(w) OVER (PARTITION BY floor(log2(c)), substr(md5(w), 1, 2) ORDER BY w) AS other FROM k), u AS (SELECT *, {_POS.format('len(t)')} AS i FROM t WHERE len(t) >= 5), v AS (SELECT u.*, other FROM u LEFT JOIN sw ON sw.w = u.t[u.i])
+SELECT sentence_id, CASE WHEN {_FLAG} AND other IS NOT NULL THEN array_to_string(list_concat(t[1:i-1], [other], t[i+1:]), ' ') ELSE array_to_string(t, ' ') END AS item, CASE WHEN {_FLAG} AND other IS NOT NULL THEN 'C' ELSE 'O' END AS label FROM v""")
 def q_probe_odd_word(spark, sf_dir):
     return probing.odd_word_out(sentences(spark, sf_dir))
 
