@@ -44,7 +44,7 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "Proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 #: The cosine from which a whole text counts as a licence file.
 WHOLE = 0.8
@@ -80,14 +80,15 @@ class LicenceModel:
                     self.postings.setdefault(t, []).append((len(self.names), w / norm))
                 vectors.append({t: w / norm for t, w in vector.items()})
                 self.names.append(name)
-        # Without any of these words no text reaches the threshold: what is left of each template is too short.
+        # Without any of these words, of each term its rarest, no text reaches the
+        # threshold: what is left of each template is too short.
         rare: set[str] = set()
         for vector in vectors:
             left = 1.0
             for t, w in sorted(vector.items(), key=lambda x: (-self.idf.get(x[0], self.other), x[0])):
                 if left < 0.99 * self.threshold**2:
                     break
-                rare.add(t.split(" ")[0])
+                rare.add(max(t.split(" "), key=lambda w: (self.idf.get(w, self.other), w)))
                 left -= w * w
         self.rare = frozenset(rare)
 
@@ -108,18 +109,19 @@ class LicenceModel:
     def scan(self, text: str | None) -> tuple[float, str | None, bool]:
         """Score and licence of the best header line or sentence, or of the whole
         text, and whether licence terms make up most of the text's words."""
-        if not text or self.rare.isdisjoint(_WORD.findall(text.lower())):
+        words = _WORD.findall(text.lower()) if text else []
+        if self.rare.isdisjoint(words):
             return 0.0, None, False
-        best, words, own = (0.0, None), 0, 0
+        best, own = (0.0, None), 0
         for unit in _UNIT.split(text):
-            n = len(_WORD.findall(unit.lower()))
-            words += n
-            if n and not self.rare.isdisjoint(_WORD.findall(unit.lower())):
-                found = self.match(unit)
-                if found[0] >= self.threshold:
-                    own += n
-                    best = max(best, found, key=lambda x: x[0])
-        whole = self.match(text) if 5 * own < 4 * words and words <= 5000 else (0.0, None)
+            found = _WORD.findall(unit.lower())
+            if found and not self.rare.isdisjoint(found):
+                score = self.match(unit)
+                if score[0] >= self.threshold:
+                    own += len(found)
+                    best = max(best, score, key=lambda x: x[0])
+        words, known = len(words), sum(w in self.postings for w in words)
+        whole = self.match(text) if 5 * own < 4 * words <= 8 * known else (0.0, None)
         if whole[0] >= max(self.threshold, WHOLE):
             best, own = max(best, whole, key=lambda x: x[0]), words
         return (*best, best[1] is not None and 5 * own >= 4 * words)
@@ -153,8 +155,8 @@ def scan_licences(docs: DataFrame, path: Column, *, threshold: float = 0.6, id_c
 
     ``origin`` is ``own`` where a line, sentence or the whole text has a cosine
     of ``threshold`` or more to a template.  A document of which licence terms
-    make up four fifths of the words, or that resembles a template as a whole
-    (``WHOLE``), is a licence file; it also covers what
+    make up four fifths of the words, or half of whose words are the templates'
+    and that resembles one as a whole (``WHOLE``), is a licence file; it also covers what
     lies in its directory and below.  A document without a licence of its own
     is ``inherited`` from the nearest directory upwards that holds a licence
     file (the best score of it, then the least path), else ``none``.  Null and
