@@ -100,7 +100,7 @@ def map_rows(df: DataFrame, fn: Callable[[list], list | None], schema: str) -> D
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds about ``limit`` bytes (one row at least)."""
     parts = max(1, -(-batch.nbytes // limit))
     step = max(1, -(-batch.num_rows // parts))

@@ -18,7 +18,7 @@ from .learning import labelled_sample
 MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 6000, 40_000_000
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
