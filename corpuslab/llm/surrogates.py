@@ -51,6 +51,8 @@ _KINDS = re.compile(
     rf"|\b(?P<title>{_TITLE_RE})\b\.?\s(?:(?P<given>{_GIVEN_RE})\s)?(?P<family>{_NAME})"
     rf"|\b(?P<given2>{_GIVEN_RE})\s(?P<family2>{_NAME})"
 )
+# Beginnings of keys that may hold no digit; a text with one is searched as a whole.
+_WHOLE = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ")
 # What a line needs to hold any of these: plain alternatives of literals, which scan fast.
 _HINTS = (re.compile("[0-9@]"), re.compile(f"{_GIVEN_RE}|{_TITLE_RE}"))
 
@@ -114,7 +116,7 @@ def detect(text: str | None) -> list[Entity]:
     out: list[Entity] = []
     if not text:
         return out
-    if "-----BEGIN" in text:
+    if any(p in text for p in _WHOLE):
         pieces = [(0, text)]
     else:
         pieces, at = [], 0
