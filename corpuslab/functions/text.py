@@ -47,6 +47,22 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def prefix_sums(lengths: Column, block: int = 64) -> Column:
+    """The sum of what stands before each element: by blocks, so that no long array is copied for each."""
+
+    def within(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + x)))
+
+    def joined(inner: Column) -> Column:
+        offsets = F.aggregate(inner, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + F.element_at(p, F.lit(-1)))))
+        return F.flatten(F.zip_with(inner, F.slice(offsets, F.lit(1), F.size(inner)), lambda p, o: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + o)))
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / block).cast("int") - 1, F.lit(0))), lambda b: F.slice(x, b * block + 1, block))
+
+    return let(F.transform(let(lengths, blocks), within), joined)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -78,18 +94,21 @@ def normalize_text(text: Column, cfg: PreprocessConfig = DEFAULT) -> Column:
     return collapse_whitespace(out)
 
 
-def is_valid_word(word: Column, cfg: PreprocessConfig = DEFAULT) -> Column:
-    """Long enough, mostly letters, and of more than two distinct letters when over three long."""
+def is_valid_word(word: Column, cfg: PreprocessConfig = DEFAULT, letters_only: bool = False) -> Column:
+    """Long enough, mostly letters, and of more than two distinct characters when over three long.
+
+    ``letters_only`` says that the word is known to consist of letters.
+    """
     n = F.length(word)
-    letters = F.length(F.regexp_replace(word, r"\P{L}", ""))
-    distinct = F.size(F.filter(F.array_distinct(F.split(F.lower(word), "")), lambda c: c != ""))
     rules = [n >= F.lit(max(1, cfg.min_word_length))]
-    if cfg.remove_single_chars:
+    if cfg.remove_single_chars and cfg.min_word_length < 2:
         rules.append((n != 1) | F.lower(word).isin("a", "i"))
-    if cfg.min_alpha_ratio > 0:
-        rules.append(letters / n >= F.lit(cfg.min_alpha_ratio))
-    rules.append((n <= 1) | ((n - letters) <= n * F.lit(0.5)))
-    rules.append((distinct > 2) | (n <= 3))
+    rules.append((n <= 3) | ~F.lower(word).rlike(r"^(.)\1*(?:(.)(?:\1|\2)*)?$"))
+    if not letters_only:
+        letters = F.length(F.regexp_replace(word, r"\P{L}", ""))
+        if cfg.min_alpha_ratio > 0:
+            rules.append(letters / n >= F.lit(cfg.min_alpha_ratio))
+        rules.append((n <= 1) | ((n - letters) <= n * F.lit(0.5)))
     return F.coalesce(reduce(lambda a, b: a & b, rules), F.lit(False))
 
 
@@ -116,14 +135,13 @@ def clean_tokens(
     normal = normalize_text(text, cfg)
     tokens = tokenize(F.lower(normal) if cfg.lowercase else normal)
     shape = (lambda w: w.rlike(r"^\p{L}+$")) if cfg.remove_numbers else (lambda w: w.rlike(r"^(?:\p{L}+|\p{N}+)$"))
-    tokens = F.filter(tokens, lambda w: shape(w) & is_valid_word(w, cfg))
+    words = stopwords(extra_stopwords) if cfg.remove_stopwords else []
+    plain = (lambda w: ~F.lower(w).isin(*words)) if words else (lambda w: F.lit(True))
+    tokens = F.filter(tokens, lambda w: plain(w) & shape(w) & is_valid_word(w, cfg, letters_only=cfg.remove_numbers))
     if cfg.allowed_pos:
         if tag is None:
             raise ValueError("allowed_pos needs a tagger: pass tag=")
         tokens = F.filter(tokens, lambda w: tag(w).isin(*sorted(cfg.allowed_pos)))
-    if cfg.remove_stopwords:
-        words = F.array(*[F.lit(w) for w in stopwords(extra_stopwords)])
-        tokens = F.filter(tokens, lambda w: ~F.array_contains(words, F.lower(w)))
     if cfg.lemmatize and lemmatize is not None:
         tokens = F.filter(F.transform(tokens, lambda w: lemmatize(F.lower(w))), lambda w: is_valid_word(w, cfg))
     return tokens

@@ -10,35 +10,42 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 
 
-def _pieces(text: Column) -> Column:
-    """Words, single other signs and white space, which together are the text."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]|\s+"), F.lit(0))
+_TOKEN = r"(?U)(\w+|[^\w\s])\s*"
 
 
 def _windows(text: Column, lengths: Sequence[int]) -> Column:
-    """``(phrase, start, end, text)`` of all runs of as many tokens as ``lengths`` say."""
-    kind = "array<struct<phrase:string,start:int,end:int,text:string>>"
+    """``(phrase, start, end, text)`` of all runs of as many tokens as ``lengths`` say.
 
-    def build(pieces: Column, ends: Column, at: Column) -> Column:
-        def of(n: int) -> Column:
-            def window(i: Column) -> Column:
-                own = F.slice(at, i, n)
-                first, last = F.element_at(at, i), F.element_at(at, i + (n - 1))
-                return F.struct(
-                    F.array_join(F.transform(own, lambda k: F.lower(F.element_at(pieces, k))), " ").alias("phrase"), F.element_at(ends, first).alias("start"),
-                    F.element_at(ends, last + 1).alias("end"), F.array_join(F.slice(pieces, first, last - first + 1), "").alias("text"),
-                )
-
-            return F.when(F.size(at) >= n, F.transform(F.sequence(F.lit(1), F.size(at) - (n - 1)), window)).otherwise(F.array().cast(kind))
-
-        return F.flatten(F.array(*[of(n) for n in lengths]))
-
-    def with_pieces(pieces: Column) -> Column:
-        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, F.lit(-1)) + F.length(p))))
-        at = F.filter(F.transform(pieces, lambda p, i: F.when(~p.rlike(r"(?U)^\s"), i + 1)), lambda k: k.isNotNull())
-        return T.let(ends, lambda e: T.let(at, lambda k: build(pieces, e, k)))
+    Words and single other signs are tokens.  ``long`` holds them with the white
+    space behind, so that windows are put together from shifted arrays.
+    """
 
-    return T.let(_pieces(text), with_pieces)
+    def build(short: Column, long: Column, start: Column) -> Column:
+        out = []
+        end = F.zip_with(start, short, lambda s, w: s + F.length(w))
+        for n in lengths:
+            m = F.greatest(F.size(short) - (n - 1), F.lit(0))
+            own = lambda a, k: F.slice(a, F.lit(k + 1), m)  # noqa: B023, E731
+            phrase, raw = F.transform(own(short, 0), F.lower), own(short, 0)
+            for k in range(1, n):
+                phrase = F.zip_with(phrase, F.transform(own(short, k), F.lower), lambda a, b: F.concat(a, F.lit(" "), b))
+                raw = F.zip_with(own(long, k - 1), own(short, k), lambda a, b: F.concat(a, b)) if k == 1 else F.zip_with(F.zip_with(raw, _gap(own(long, k - 1), own(short, k - 1)), lambda a, b: F.concat(a, b)), own(short, k), lambda a, b: F.concat(a, b))
+            out.append(F.zip_with(F.zip_with(phrase, raw, lambda p, r: F.struct(p.alias("p"), r.alias("r"))), F.zip_with(own(start, 0), own(end, n - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e"))),
+                                  lambda x, y: F.struct(x["p"].alias("phrase"), y["s"].alias("start"), y["e"].alias("end"), x["r"].alias("text"))))
+        return F.flatten(F.array(*out))
+
+    def with_offsets(short: Column, long: Column) -> Column:
+        lead = F.length(F.regexp_extract(text, r"(?U)^\s*", 0))
+        starts = F.transform(T.prefix_sums(F.transform(long, F.length)), lambda s: s + lead)
+        return T.let(starts, lambda at: build(short, long, at))
+
+    found = lambda group: F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(group))
+    return T.let(found(1), lambda short: T.let(found(0), lambda long: with_offsets(short, long)))
+
+
+def _gap(long: Column, short: Column) -> Column:
+    """The white space behind each token."""
+    return F.zip_with(long, short, lambda a, b: F.substring(a, F.length(b) + 1, F.length(a)))
 
 
 def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "paragraph_id", topic_col: str = "topic_id", text_col: str = "paragraph_text", lengths: Sequence[int] | None = None) -> DataFrame:

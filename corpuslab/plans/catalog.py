@@ -15,6 +15,7 @@ from corpuslab import providers
 from corpuslab.config import PIPELINE
 from corpuslab.functions import text as T
 from corpuslab.operators import extract, infill, masking, pairs, probing, quality, splits, topics
+from corpuslab.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -39,11 +40,15 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Tables of texts, whose rows are costly, and their keys.
+_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 # --- inputs ------------------------------------------------------------------
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.spread(df, _KEYS[name]) if name in _KEYS else df
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,16 @@ def read_model(path: str):
     return PipelineModel.load(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a small input, such as a single file, to all cores.
+
+    A scan of at least as many partitions as there are cores stays as it is, so
+    large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- sinks -------------------------------------------------------------------
 
 
