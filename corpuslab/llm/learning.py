@@ -15,4 +15,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """
     known = labels.filter(train & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     chosen = known.withColumn("_rank", F.xxhash64("_id")).orderBy("_rank", "_id").limit(limit)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_y", "_rank", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "_id").select("_id", "_y", "_rank", "text")

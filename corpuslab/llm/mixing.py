@@ -201,12 +201,12 @@ def _fill(part: pd.DataFrame) -> pd.DataFrame:
 def mixture_rows(docs: DataFrame, mixture: Mixture = Mixture(), **columns: str) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the same columns.
 
-    Rows that repeat an id are taken as often as the first of them.
+    Rows that repeat an id are taken as often as the most taken of them; rows with a null id are left out.
     """
     id_col = columns.get("id_col", "doc_id")
-    taken = mix_sources(docs, mixture, **columns).filter("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_n"))
-    kept = docs.join(sized(taken.withColumnRenamed("doc_id", "_id")), F.col(id_col) == F.col("_id"))
-    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("_i")).drop("_i")
+    taken = mix_sources(docs, mixture, **columns).filter("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_n"))
+    kept = docs.join(sized(taken), docs[id_col] == F.col("__mix_id"))
+    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__mix_n")).alias("__mix_i")).drop("__mix_i")
 
 
 def write_shards(docs: DataFrame, path: str, mixture: Mixture = Mixture(), **columns: str) -> None:

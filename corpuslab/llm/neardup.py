@@ -85,7 +85,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: in
         sets = [(i, s) for i, text, fa in zip(*columns) if _fingerprint(s := shingle_hashes(text, width))[0] == fa]
         return [[i for i, _ in sets], [s.view(np.int64) for _, s in sets]]
 
-    rows = docs.join(sized(ids), docs[id_col] == ids["rep"]).select("rep", F.col(text_col).cast("binary"), "fa")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.join(sized(ids), "rep").select("rep", "text", "fa")
     return map_rows(rows, run, f"rep {kind}, shingles array<long>").dropDuplicates(["rep"])
 
 

@@ -296,5 +296,5 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
     entity = "array<struct<kind:string,norm:string,trait:string>>"
     own = map_rows(docs.select(id_col, text_col), lambda c: [c[0], [[dict(zip(("kind", "norm", "trait"), e)) for e in _listed(t)] for t in c[1]]], f"_id {kind}, e {entity}").select("_id", F.inline("e"))
     pairs = own.distinct().join(retried, ["kind", "norm", "trait"]).groupBy("_id").agg(F.collect_list(F.struct("kind", "norm", "trait", "attempt")).alias("_retried"))
-    rows = docs.join(pairs, docs[id_col] == pairs["_id"], "left").select(id_col, text_col, "_retried")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(pairs, "_id", "left").select("_id", "_text", "_retried")
     return map_rows(rows, lambda c: out(c, [{_code(r["kind"], r["norm"], r["trait"]): r["attempt"] for r in x or []} for x in c[2]]), schema)
