@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import mixing, neardup, sharding, tiling, toxicity
-from corpuslab.llm.common import read, sized, stored
+from corpuslab.llm.common import checkpoint, read, sized, stored
 
 #: The shards that the last stage fills.
 N_SHARDS = 24
@@ -22,7 +22,7 @@ N_SHARDS = 24
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the ids in ``gone``; null ids stay."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    ids = checkpoint(gone.select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(sized(ids), docs["doc_id"] == F.col("_gone"), "left_anti")
 
 

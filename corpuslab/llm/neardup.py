@@ -216,5 +216,5 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, id_co
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component, the least id; columns as they came."""
     id_col = options.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = checkpoint(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(sized(gone), docs[id_col] == F.col("_gone"), "left_anti")

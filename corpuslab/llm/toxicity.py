@@ -15,7 +15,7 @@ from .common import checkpoint, crc_bucket, map_rows
 from .learning import labelled_sample
 
 #: Bounds of the sample that a model is fitted on: documents, and bytes of text.
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 6000, 40_000_000
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 6000, 20_000_000
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 150_000
