@@ -56,6 +56,11 @@ def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en' and length(text) = octet_length(text)").select("doc_id", "text", "source")
 
 
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, for the queries that no SQL holds to ``english``."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
 EN = "en AS (SELECT doc_id, text, source FROM documents WHERE lang = 'en' AND length(text) = strlen(text))"
 
 
@@ -103,8 +108,8 @@ ANNOTATIONS = f"""{SCORES}, ann AS (
 )"""
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = english(spark, sf_dir)
+def sentences(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
+    e = docs(spark, sf_dir)
     rows = e.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.withColumn("sentence_id", F.col("doc_id") * 100_000 + F.col("pos"))
 
@@ -114,15 +119,17 @@ SENTENCES = f"""{EN}, sl AS (SELECT doc_id, string_split(regexp_replace({STRIP.f
 sent AS (SELECT doc_id, pos, sentence, doc_id * 100000 + pos AS sentence_id FROM (SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM sl))"""
 
 
-def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_docs(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
+    """Documents with topic and words; of ``every`` one, those without a label have topic -1."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("topic_id"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return english(spark, sf_dir).join(labels, "doc_id").select("doc_id", "topic_id", "text", words.alias("tokens"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+" if docs is english else r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
+    rows = docs(spark, sf_dir).join(labels, "doc_id", "inner" if docs is english else "left")
+    return rows.select("doc_id", F.coalesce("topic_id", F.lit(-1)).alias("topic_id"), "text", words.alias("tokens"))
 
 
-def keywords(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+def keywords(spark: SparkSession, sf_dir: str, n: int = 10, docs: Query = english) -> DataFrame:
     grams = F.concat(F.col("tokens"), topics.ngrams(F.col("tokens"), 2))
-    return topics.top_keywords(topics.class_tf_idf(topic_docs(spark, sf_dir).select("topic_id", F.explode(grams).alias("word"))), n)
+    return topics.top_keywords(topics.class_tf_idf(topic_docs(spark, sf_dir, docs).select("topic_id", F.explode(grams).alias("word"))), n)
 
 
 TOKENS = f"{EN}, tok AS (SELECT d.doc_id, e.label::INTEGER AS topic_id, d.text, regexp_extract_all(lower(d.text), '[a-z]+') AS ws FROM en d JOIN embeddings e ON e.vec_id = d.doc_id)"
@@ -518,7 +525,7 @@ def q_npmi_coherence(spark, sf_dir):
 
 @query()
 def q_c_v_coherence(spark, sf_dir):
-    return topics.c_v_coherence(topic_docs(spark, sf_dir), keywords(spark, sf_dir).filter("not contains(word, ' ')"))
+    return topics.c_v_coherence(topic_docs(spark, sf_dir, every), keywords(spark, sf_dir, docs=every).filter("not contains(word, ' ')"))
 
 
 @query()
@@ -539,7 +546,7 @@ def q_gaussian_mixture(spark, sf_dir):
 
 @query()
 def q_embed(spark, sf_dir):
-    return providers.hashing_embedder(topic_docs(spark, sf_dir)).select("doc_id", "embedding")
+    return providers.hashing_embedder(topic_docs(spark, sf_dir, every)).select("doc_id", "embedding")
 
 
 # --- masking and pairs ---------------------------------------------------------------
@@ -552,8 +559,8 @@ wn AS (SELECT doc_id, topic_id, p AS phrase, s, e FROM tk UNION ALL SELECT a.doc
 mt AS (SELECT DISTINCT wn.doc_id, wn.topic_id, s::INTEGER AS s, e::INTEGER AS e FROM wn JOIN kw ON kw.topic_id = wn.topic_id AND kw.word = wn.phrase)"""
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.match_phrases(topic_docs(spark, sf_dir), keywords(spark, sf_dir), id_col="doc_id", text_col="text", lengths=(1, 2))
+def matches(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
+    return masking.match_phrases(topic_docs(spark, sf_dir, docs), keywords(spark, sf_dir, docs=docs), id_col="doc_id", text_col="text", lengths=(1, 2))
 
 
 @query(f'WITH {MATCHES} SELECT mt.doc_id, mt.topic_id, s AS start, e AS "end", substr(tok.text, s + 1, e - s) AS text FROM mt JOIN tok ON tok.doc_id = mt.doc_id')
@@ -565,12 +572,12 @@ def q_phrase_match(spark, sf_dir):
 ONE_WORD = MATCHES.replace("kw.word = wn.phrase)", "kw.word = wn.phrase AND NOT contains(kw.word, ' '))")
 
 
-def masked(spark: SparkSession, sf_dir: str, variants: int = 6) -> DataFrame:
-    docs = topic_docs(spark, sf_dir).select("doc_id", "topic_id", F.col("text").alias("paragraph_text"))
-    words = keywords(spark, sf_dir).filter("not contains(word, ' ')")
-    found = masking.collect_spans(masking.match_phrases(docs, words, id_col="doc_id", lengths=(1,)), "doc_id")
+def masked(spark: SparkSession, sf_dir: str, variants: int = 6, docs: Query = english) -> DataFrame:
+    rows = topic_docs(spark, sf_dir, docs).select("doc_id", "topic_id", F.col("text").alias("paragraph_text"))
+    words = keywords(spark, sf_dir, docs=docs).filter("not contains(word, ' ')")
+    found = masking.collect_spans(masking.match_phrases(rows, words, id_col="doc_id", lengths=(1,)), "doc_id")
     spans = found.select("doc_id", masking.choose_spans(F.col("spans")).alias("spans"))
-    return masking.mask_variants(docs.join(spans, "doc_id", "left"), id_col="doc_id", variants=variants)
+    return masking.mask_variants(rows.join(spans, "doc_id", "left"), id_col="doc_id", variants=variants)
 
 
 VARIANTS = f"""{ONE_WORD}, cn AS (SELECT tok.doc_id, tok.topic_id, tok.text, count(mt.s) AS ns FROM tok LEFT JOIN mt ON mt.doc_id = tok.doc_id GROUP BY tok.doc_id, tok.topic_id, tok.text),
@@ -594,7 +601,7 @@ def q_masking_report(spark, sf_dir):
 
 @query()
 def q_spans(spark, sf_dir):
-    found = masking.collect_spans(matches(spark, sf_dir), "doc_id")
+    found = masking.collect_spans(matches(spark, sf_dir, every), "doc_id")
     return found.select("doc_id", "topic_id", F.size("spans").alias("n"), F.size(masking.choose_spans(F.col("spans"))).alias("strict"), F.size(masking.choose_spans(F.col("spans"), compat=True)).alias("compat"))
 
 
@@ -614,8 +621,8 @@ pr AS (SELECT md5(original || chr(1) || masked) AS pair_id, topic_id, original,
   QUALIFY row_number() OVER (PARTITION BY original, masked ORDER BY doc_id, variant_no, i) = 1)"""
 
 
-def masked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.sentence_pairs(masked(spark, sf_dir), keywords(spark, sf_dir), order=["doc_id", "variant_no"])
+def masked_pairs(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
+    return pairs.sentence_pairs(masked(spark, sf_dir, docs=docs), keywords(spark, sf_dir, docs=docs), order=["doc_id", "variant_no"])
 
 
 @query(f"WITH {PAIRED} SELECT pair_id, topic_id, original, masked, mask_ratio, length FROM pr")
@@ -637,14 +644,14 @@ lm AS (SELECT prev, token, p, row_number() OVER (PARTITION BY prev ORDER BY p DE
 DRAW = "('0x' || substr(md5('7|' || prev), 1, 8))::BIGINT / 4294967296::DOUBLE"
 
 
-def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences(spark, sf_dir).filter(F.col("sentence").rlike(r"\S"))
+def _model(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
+    rows = sentences(spark, sf_dir, docs).filter(F.col("sentence").rlike(r"\S"))
     return infill.bigram_model(rows, top=20)
 
 
-def _draws(spark: SparkSession, sf_dir: str, strategy: str, **params) -> DataFrame:
+def _draws(spark: SparkSession, sf_dir: str, strategy: str, docs: Query = english, **params) -> DataFrame:
     u = T.hash_unit(F.lit("7"), F.col("prev"))
-    return _model(spark, sf_dir).withColumn("c", infill.choose(F.col("cands"), strategy, u, **params)).select("prev", F.col("c.token").alias("token"), F.round("c.p", 6).alias("p"))
+    return _model(spark, sf_dir, docs).withColumn("c", infill.choose(F.col("cands"), strategy, u, **params)).select("prev", F.col("c.token").alias("token"), F.round("c.p", 6).alias("p"))
 
 
 def _drawn_sql(weight: str, keep: str = "true") -> str:
@@ -677,7 +684,7 @@ def q_fill_top_p(spark, sf_dir):
 
 @query()
 def q_fill_top_k_top_p(spark, sf_dir):
-    return _draws(spark, sf_dir, "top_k_top_p", top_k=8, top_p=0.7, temperature=0.8)
+    return _draws(spark, sf_dir, "top_k_top_p", every, top_k=8, top_p=0.7, temperature=0.8)
 
 
 @query(_drawn_sql("pow(p, 2)"))
@@ -687,8 +694,8 @@ def q_fill_temperature(spark, sf_dir):
 
 @query()
 def q_infill(spark, sf_dir):
-    rows = masked_pairs(spark, sf_dir)
-    text = sentences(spark, sf_dir).filter(F.col("sentence").rlike(r"\S"))
+    rows = masked_pairs(spark, sf_dir, every)
+    text = sentences(spark, sf_dir, every).filter(F.col("sentence").rlike(r"\S"))
     out = infill.fill_masks(rows, infill.bigram_model(text, top=20), infill.unigram_model(text, top=20), strategy="top_k", top_k=5)
     a, b = F.col("original"), F.col("infilled")
     return out.withColumn("hybrid_score", F.round(infill.hybrid_score(infill.token_jaccard(a, b), infill.token_jaccard(a, b), infill.length_ratio(a, b)), 6)).select("pair_id", "infilled", "infill_score", "hybrid_score", "sampling_strategy")
