@@ -18,6 +18,8 @@ from corpuslab.llm.common import checkpoint, read, sized, stored
 
 #: The shards that the last stage fills.
 N_SHARDS = 24
+#: Similarity in hundredths from which documents are near-duplicates here; the 85 of ``op9_near_duplicates`` is that query's own.
+NEAR_PERCENT = 80
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_rows, mix, shingle_hashes, sized
 
-#: 26 bands of 5 coordinates: at similarity 0.85 a pair shares no band with probability 3e-7.
-BANDS, ROWS = 26, 5
-#: Pairs that agree in fewer coordinates than this aren't verified across components: at similarity 0.85 that has probability 1e-6.
-LEAST_AGREEING = 90
+#: Probabilities that a pair at the threshold shares no band, and that it agrees in too few coordinates to be verified across components.
+BAND_LOSS, AGREEING_LOSS = 3e-7, 1.7e-6
+#: Most coordinates a band, and the bands up to which they are taken.
+MAX_ROWS, MAX_BANDS = 5, 32
 #: Groups of equal sets beyond this share of the rows are joined by broadcast; there can't be more of them.
 HEAVY_SHARE = 1000
 #: Pairs of one hub that a join task may meet.
 PAIRS_A_SALT = 512
 
 
+@cache
+def banding(percent: int) -> tuple[int, int, int]:
+    """Bands, coordinates a band, and the coordinates in which a pair has to agree, for a threshold of ``percent`` hundredths."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100: {percent}")
+    p = percent / 100
+    bands = lambda rows: 1 if p == 1 else math.ceil(math.log(BAND_LOSS) / math.log1p(-(p**rows)))
+    rows = next((r for r in range(MAX_ROWS, 1, -1) if bands(r) <= MAX_BANDS), 1)
+    n, least, below = bands(rows) * rows, 0, 0.0
+    while least < n and (below := below + math.comb(n, least) * p**least * (1 - p) ** (n - least)) <= AGREEING_LOSS:
+        least += 1
+    return bands(rows), rows, least
+
+
+#: The bands and coordinates of the default threshold.
+BANDS, ROWS, LEAST_AGREEING = banding(85)
+
+
 def _seeds(n: int, start: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(np.arange(start, start + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
@@ -61,15 +82,16 @@ def _fingerprint(items: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix(items ^ s).sum(dtype=np.uint64).view(np.int64)) for s in (a, b))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, fa, fb, bands, coords``: size, 128-bit fingerprint,
     band keys and the sketch's coordinates (a byte of each) of each row's shingle set."""
+    bands, rows, _ = banding(percent)
 
     def run(columns: list) -> list:
         sets = [shingle_hashes(t, width) for t in columns[1]]
         prints = [_fingerprint(s) for s in sets]
-        sketches = [sketch(s) if len(s) else None for s in sets]
-        keys = [[] if k is None else band_keys(k).view(np.int64).tolist() for k in sketches]
+        sketches = [sketch(s, bands * rows) if len(s) else None for s in sets]
+        keys = [[] if k is None else band_keys(k, bands).view(np.int64).tolist() for k in sketches]
         coords = [[] if k is None else k.astype(np.uint8).view(np.int8).tolist() for k in sketches]
         return [columns[0], [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], keys, coords]
 
@@ -158,7 +180,7 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, roots: Data
     a = live.join(mixed, "key").join(sketches, "rep")
     b = a.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "t", "root", "bands", "coords")])
     first = F.get(F.filter(F.zip_with("bands", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == F.col("key")
-    agree = F.aggregate(F.zip_with("coords", "coords_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= LEAST_AGREEING
+    agree = F.aggregate(F.zip_with("coords", "coords_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= banding(percent)[2]
     near = _could_link(F.col("t"), F.col("t_b"), F.col("n"), F.col("n_b"), percent)
     return a.join(b, "key").filter((F.col("rep") < F.col("rep_b")) & (F.col("root") != F.col("root_b")) & near & first & agree).select(F.col("rep").alias("hub"), F.col("rep_b").alias("rep")).distinct()
 
@@ -186,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 5, id_co
     Inside a component nothing is left to verify, so a group of copies costs a
     pass over it for each of its hubs, not all its pairs.
     """
-    sig = checkpoint(signatures(docs, id_col, text_col, width))
+    sig = checkpoint(signatures(docs, id_col, text_col, width, percent))
     usable = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(usable.groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("bands").alias("bands"), F.first("coords").alias("coords")))
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
