@@ -75,6 +75,12 @@ class Mixture:
     seed: int = 42
 
 
+def _hash(seed: int, id_col: str, text_col: str) -> Column:
+    """A hash of the id, or of the text where the id is null."""
+    own = F.col(id_col)
+    return F.xxhash64(F.lit(seed), F.coalesce(own.cast("string"), F.lit("null")), F.when(own.isNull(), F.col(text_col).cast("string")))
+
+
 def mix_sources(
     docs: DataFrame,
     mixture: Mixture = Mixture(),
@@ -88,7 +94,8 @@ def mix_sources(
 
     Returns ``doc_id, source, size, source_size, target, taken, copies, shards``,
     a row for each input row; ``taken = copies * size``, ``shards`` has a shard
-    for each copy.  Documents are dealt into blocks by a hash of their id, so a
+    for each copy.  Documents are dealt into blocks by a hash of their id (of
+    their text where it is null), so a
     source's blocks are random parts of it.  A source gives whole passes over
     all its blocks, then whole blocks in a permuted order, then of one last
     block the documents, in permuted order, that still fit.  Null sources are a
@@ -98,11 +105,16 @@ def mix_sources(
     The text is read once, for the word counts.  The driver receives the totals
     of at most ``MAX_BLOCKS`` blocks, however large the table.
     """
+    return _mix(docs, mixture, id_col, text_col, source_col, docs_per_block).drop("_h")
+
+
+def _mix(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+    """``mix_sources`` with the hash ``_h`` of each row."""
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     narrow = checkpoint(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("_key"), count_words(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(mixture.seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("_h"),
+            _hash(mixture.seed, id_col, text_col).alias("_h"),
         )
     )
     spark = docs.sparkSession
@@ -127,22 +139,22 @@ def mix_sources(
     dealt = placed.join(sized(plan), ["_key", "_block"])
     # of one block a source at most, documents are drawn one by one
     open_ = dealt.filter("_gap >= 0")
-    some = open_.select("_key", "doc_id", "size", "_h", "_gap").groupBy("_key").applyInPandas(_fill, "doc_id long, _h long, size long, _extra int, _nth int")
+    some = open_.select("_key", "size", "_h", "_gap").groupBy("_key").applyInPandas(_fill, "_key string, _h long, _extra int, _nth int")
     tell_apart = F.row_number().over(_rank())
     whole = dealt.filter("_gap < 0").withColumn("_extra", F.lit(0))
-    parts = open_.withColumn("_nth", tell_apart).join(some.drop("doc_id", "size"), ["_h", "_nth"]).drop("_nth")
+    parts = open_.withColumn("_nth", tell_apart).join(some, ["_key", "_h", "_nth"]).drop("_nth")
     every = whole.unionByName(parts)
     copies = F.col("_copies") + F.col("_extra")
     return every.select(
         "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"),
-        F.slice("_shards", F.lit(1), copies).alias("shards"), F.xxhash64(F.lit(mixture.seed + 1), "_h").alias("local_order"),
+        F.slice("_shards", F.lit(1), copies).alias("shards"), F.xxhash64(F.lit(mixture.seed + 1), "_h").alias("local_order"), "_h",
     )
 
 
 def _rank():
     from pyspark.sql import Window
 
-    return Window.partitionBy("_h").orderBy("_key", "size")
+    return Window.partitionBy("_key", "_h").orderBy("size")
 
 
 def _plan(rows: list, n_blocks: list[int], goal: list[float], totals: pd.DataFrame, mixture: Mixture) -> pd.DataFrame:
@@ -195,17 +207,17 @@ def _fill(part: pd.DataFrame) -> pd.DataFrame:
             if i >= 0:
                 extra[i], gap = on, gap + (-sizes[i] if on else sizes[i])
     part["_extra"], part["_nth"] = extra.astype(np.int32), part.groupby("_h").cumcount() + 1
-    return part[["doc_id", "_h", "size", "_extra", "_nth"]]
+    return part[["_key", "_h", "_extra", "_nth"]]
 
 
 def mixture_rows(docs: DataFrame, mixture: Mixture = Mixture(), **columns: str) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the same columns.
 
-    Rows that repeat an id are taken as often as the most taken of them; rows with a null id are left out.
+    Rows that repeat an id are taken as often as the most taken of them; so are rows of the same text with a null id.
     """
-    id_col = columns.get("id_col", "doc_id")
-    taken = mix_sources(docs, mixture, **columns).filter("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("copies").alias("__mix_n"))
-    kept = docs.join(sized(taken), docs[id_col] == F.col("__mix_id"))
+    id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
+    taken = _mix(docs, mixture, **columns).filter("copies > 0").groupBy(F.col("doc_id").alias("__mix_id"), F.col("_h").alias("__mix_h")).agg(F.max("copies").alias("__mix_n"))
+    kept = docs.join(sized(taken), (_hash(mixture.seed, id_col, text_col) == F.col("__mix_h")) & F.col(id_col).eqNullSafe(F.col("__mix_id")))
     return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__mix_n")).alias("__mix_i")).drop("__mix_i")
 
 
