@@ -190,8 +190,8 @@ def _seeds(columns: list, least: int) -> list:
 
 def _by_seeds(docs: DataFrame, items: DataFrame, threshold: float, least: int, kind: str, schema: str) -> DataFrame:
     """The way for benchmarks of any size: only pairs that share a seed meet."""
-    same = F.concat_ws(" ", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    classes = items.withColumn("words", same).groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    same = map_rows(items.select("item_id", "text"), lambda c: [c[0], [" ".join(tokens(t)) for t in c[1]]], "item_id long, words string")
+    classes = same.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     marks = map_rows(classes.select("ids", "words", F.col("words").alias("text")), lambda c: _seeds(c, least), "ids array<long>, words string, seeds array<long>")
     marks = marks.select("ids", "words", F.explode("seeds").alias("seed"))
     own = map_rows(docs.select("doc_id", "text"), lambda c: _seeds(c, least), f"doc_id {kind}, seeds array<long>").select("doc_id", F.explode("seeds").alias("seed"))
