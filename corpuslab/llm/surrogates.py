@@ -55,6 +55,8 @@ _KINDS = re.compile(
 _WHOLE = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ")
 # What a line needs to hold any of these: plain alternatives of literals, which scan fast.
 _HINTS = (re.compile("[0-9@]"), re.compile(f"{_GIVEN_RE}|{_TITLE_RE}"))
+# The words that announce a password or key, and the most line breaks that may stand between one and its value.
+_ANNOUNCED, _BREAKS = re.compile("password|passwd|pwd|secret|token|key", re.I), 6
 
 
 @dataclass(frozen=True)
@@ -119,11 +121,21 @@ def detect(text: str | None) -> list[Entity]:
     if any(p in text for p in _WHOLE):
         pieces = [(0, text)]
     else:
-        pieces, at = [], 0
-        for line in text.split("\n"):
-            if _HINTS[0].search(line) or _HINTS[1].search(line):
-                pieces.append((at, line))
+        # a family name may stand on the line after a hint, and the name of a password on lines before its value
+        pieces, starts, at, until = [], [], 0, -1
+        before = _BREAKS if "\n" in text and _ANNOUNCED.search(text) else 0
+        for n, line in enumerate(text.split("\n")):
+            starts.append(at)
             at += len(line) + 1
+            hint = _HINTS[0].search(line) or _HINTS[1].search(line)
+            if hint or n == until:
+                first = starts[max(0, n - before)] if hint else starts[n]
+                if pieces and first <= pieces[-1][1] + 1:
+                    pieces[-1][1] = at - 1
+                else:
+                    pieces.append([first, at - 1])
+                until = n + 1 if hint else until
+        pieces = [(a, text[a:b]) for a, b in pieces]
     for at, piece in pieces:
         for m in _KINDS.finditer(piece):
             out += [Entity(e.kind, e.start + at, e.end + at, e.norm, e.trait) for e in _entities(m)]
