@@ -34,6 +34,8 @@ _CLUTTER = {
     "toolbar", "copyright", "form", "aside",
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "status"}
+#: Elements that hold paragraphs.
+_CONTAINERS = {"article", "body", "center", "div", "main", "section", "td"}
 _NAME = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -43,6 +45,8 @@ class Line:
     linked: int
     marked: bool
     heading: bool = False
+    place: int = 0  # the number of the innermost open container
+    paragraph: bool = False
 
 
 def _clutter(name: str, attrs: str) -> bool:
@@ -75,11 +79,13 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
     open_marks: list[str] = []
     skip: list | None = None  # [name, depth, len(lines), named by class only]
     in_link, at, size = 0, 0, len(page)
+    inside: list[tuple[str, int]] = []  # open containers
+    n_containers = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, state["linked"], bool(open_marks), state["block"] in _HEADINGS))
+            lines.append(Line(text, state["linked"], bool(open_marks), state["block"] in _HEADINGS, inside[-1][1] if inside else 0, state["block"] == "p"))
         parts.clear()
         state["linked"] = 0
 
@@ -122,6 +128,9 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
             if name in _BLOCK:
                 flush()
                 state["block"] = ""
+                if name in _CONTAINERS and any(x == name for x, _ in inside):
+                    while inside.pop()[0] != name:
+                        pass
             elif name in _SPACED:
                 parts.append(" ")
             if name == "a":
@@ -141,6 +150,9 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
             state["block"] = name
         elif name in _SPACED:
             parts.append(" ")
+        if name in _CONTAINERS:
+            n_containers += 1
+            inside.append((name, n_containers))
         if name == "a":
             in_link += 1
         if name not in _VOID and _marks(name, attrs):
@@ -158,12 +170,16 @@ def main_lines(lines: list[Line], window: int = 3, surge: int = 86) -> list[str]
     still does (but for headings), and dives where it becomes empty.  Where markup names the article, lines
     outside it count as empty, linked text counts and any text surges.  If no
     block of an unmarked page is large, any text surges too.
+
+    On an unmarked page, what has text outside links between the first and the
+    last line found is kept too, and all paragraphs (p), linked ones included,
+    of the innermost containers that hold a paragraph found.
     """
     marked = any(x.marked and x.text for x in lines)
     sizes = [(len(x.text) if marked else max(0, len(x.text) - x.linked)) * (x.marked or not marked) for x in lines]
     blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     for least in (0,) if marked else (surge, 0):
-        out, i = [], 0
+        taken, i = [], 0
         while i < len(lines):
             lead = sizes[i] < least and not lines[i].heading and sum(sizes[i + 1 : i + window]) > least
             if not sizes[i] or blocks[i] <= least or lead:
@@ -171,10 +187,13 @@ def main_lines(lines: list[Line], window: int = 3, surge: int = 86) -> list[str]
                 continue
             while i < len(lines) and blocks[i] > 0:
                 if sizes[i]:
-                    out.append(lines[i].text)
+                    taken.append(i)
                 i += 1
-        if out:
-            return out
+        if taken and not marked and least:
+            places = {lines[i].place for i in taken if lines[i].paragraph}
+            taken = [i for i, x in enumerate(lines) if sizes[i] and taken[0] <= i <= taken[-1] or x.text and x.paragraph and x.place in places]
+        if taken:
+            return [lines[i].text for i in taken]
     return []
 
 
