@@ -19,6 +19,8 @@ MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 6000, 20_000_000
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 150_000
+#: The probability below which a sentence counts as clean, so that clean sentences never add up with a text's length.
+FLOOR = 0.05
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -40,7 +42,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 @dataclass
 class ToxicityModel:
-    """Weights of words and beginnings of words, and a sentence's bias."""
+    """Weights of words and beginnings of words, and the bias: of a sentence with such words, and once of the document."""
 
     weights: dict[str, float]
     bias: float
@@ -54,8 +56,14 @@ class ToxicityModel:
         return found
 
     def score(self, text: str | None, least: float = 0.3) -> tuple[float, list[dict]]:
-        """The document's probability, and its sentences of at least ``least``."""
-        total, worst, cache, plain = 0.0, [], self._cache, _softplus(self.bias)
+        """The document's probability, and the sentences that make it toxic.
+
+        A noisy-or of the sentences of at least ``FLOOR``; where there is none,
+        the probability of the strongest sentence, or the document's own leak.
+        Sentences of at least ``least`` are listed; where only several weaker
+        ones together reach it, these.
+        """
+        total, worst, weak, cache, top, floor = 0.0, [], [], self._cache, _softplus(self.bias), -math.log1p(-FLOOR)
         for start, end in sentences(text or ""):
             hits: set[str] = set()
             for word in _WORD.findall(text[start:end].lower()):
@@ -65,13 +73,15 @@ class ToxicityModel:
                 if found:
                     hits.update(found)
             if not hits:
-                total += plain
                 continue
             s = _softplus(self.bias + sum(self.weights[f] for f in sorted(hits)))
-            total += s
-            if (p := -math.expm1(-s)) >= least:
-                worst.append({"start": start, "end": end, "score": p})
-        return -math.expm1(-total), worst
+            top = max(top, s)
+            if s >= floor:
+                total += s
+                p = -math.expm1(-s)
+                (worst if p >= least else weak).append({"start": start, "end": end, "score": p})
+        score = -math.expm1(-max(total, top))
+        return score, worst or (weak if score >= least else [])
 
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "bias": self.bias, "_cache": {}}
@@ -84,7 +94,8 @@ def _softplus(z: float) -> float:
 def fit(texts: list[str], labels: list[int], *, n_features: int = 3000, least_docs: int = 3, steps: int = 200, rate: float = 0.1, noise: float = 0.01, penalty: float = 1e-4) -> ToxicityModel:
     """Learn sentence weights from document labels alone.
 
-    A document is toxic with ``1 - prod(1 - p)`` over its sentences.  The
+    A document is toxic with ``1 - (1 - leak) prod(1 - p)`` over the sentences
+    that hold any feature; one leak a document, whatever its length.  The
     features are those whose document counts differ most between the labels.
     ``noise`` is the share of labels taken to be wrong.
     """
@@ -116,9 +127,10 @@ def fit(texts: list[str], labels: list[int], *, n_features: int = 3000, least_do
     for d, text in enumerate(texts):
         for start, end in sentences(text):
             hits = {index[f] for w in set(_WORD.findall(text[start:end].lower())) for f in known.get(w) or word_features(w) if f in index}
-            cols.extend(hits)
-            rows.extend([len(of)] * len(hits))
-            of.append(d)
+            if hits:
+                cols.extend(hits)
+                rows.extend([len(of)] * len(hits))
+                of.append(d)
     cols, rows, of = np.array(cols, np.int64), np.array(rows, np.int64), np.array(of, np.int64)
     count = np.array([seen[f] for f in names], float)
     rate0 = (np.array([toxic[f] for f in names]) + 0.5 * base) / (count + 0.5)
@@ -128,11 +140,12 @@ def fit(texts: list[str], labels: list[int], *, n_features: int = 3000, least_do
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = np.bincount(rows, theta[cols], len(of)) + theta[-1]
-        total = np.bincount(of, np.logaddexp(0, z), n)
+        total = np.bincount(of, np.logaddexp(0, z), n) + np.logaddexp(0, theta[-1])
         p = noise + (1 - 2 * noise) * -np.expm1(-total)
         back = (p - y) / (p * (1 - p)) * (1 - 2 * noise) * np.exp(-total)
         dz = back[of] / (1 + np.exp(-np.clip(z, -60, 60)))
-        grad = np.append(np.bincount(cols, dz[rows], len(w)), dz.sum()) / n + penalty * np.append(theta[:-1], 0)
+        leak = back.sum() / (1 + math.exp(-theta[-1]))
+        grad = np.append(np.bincount(cols, dz[rows], len(w)), dz.sum() + leak) / n + penalty * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1, 2 * (1 - step / (steps + 1)))
     return ToxicityModel({f: float(x) for f, x in zip(names, theta) if abs(x) > 1e-3}, float(theta[-1]))
@@ -145,8 +158,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on labelled documents that aren't held out: the first by a hash of
-    their ids, up to ``MAX_TRAIN_DOCS`` and ``MAX_TRAIN_BYTES`` of whole texts."""
-    sample = checkpoint(labelled_sample(docs, labels, label, ~held_out(id_col), MAX_TRAIN_DOCS, id_col=id_col, text_col=text_col).dropDuplicates(["_id"]))
+    their ids, up to ``MAX_TRAIN_DOCS`` and ``MAX_TRAIN_BYTES`` of whole texts.
+
+    A text that doesn't fit what is left of the bytes is passed over, so texts
+    of many megabytes are missing from the fit.  Of the texts of a repeated id
+    the least takes part.  Without labels, or with one kind of them only, the
+    model has no words and all texts get its leak.
+    """
+    sample = labelled_sample(docs, labels, label, ~held_out(id_col), MAX_TRAIN_DOCS, id_col=id_col, text_col=text_col)
+    sample = checkpoint(sample.groupBy("_id", "_y", "_rank").agg(F.min("text").alias("text")))
     left, ids = MAX_TRAIN_BYTES, []
     for r in sorted(sample.select("_id", "_rank", F.octet_length("text").alias("n")).collect(), key=lambda r: (r["_rank"], r["_id"])):
         if (r["n"] or 0) <= left:
@@ -161,8 +181,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     """``doc_id, held_out, score, predicted, offending`` for each row.
 
     ``offending`` lists start, end and score of the sentences that reach the
-    threshold alone.  Null and empty texts have no sentence and score 0; null
-    ids aren't held out; repeated rows are scored each.  There is no shuffle.
+    threshold alone, or where none does, of those that together make the
+    document reach it; it is never empty where ``predicted`` is 1 on account of
+    words.  Null and empty texts have no sentence and score the model's leak;
+    a text of any length is scored whole; null ids aren't held out; repeated
+    rows are scored each; an empty table gives no rows.  Columns of ``docs``
+    beside id and text, whatever their names, are ignored.  There is no shuffle.
     """
     kind = dict(docs.dtypes)[id_col]
     context = docs.sparkSession.sparkContext.broadcast(model)

@@ -114,7 +114,7 @@ def test_noisy_or_is_the_product():
     model = toxicity.ToxicityModel({"bad": 3.0, "^badl": 1.0}, -2.0)
     p = lambda z: 1 / (1 + np.exp(-z))
     score, where = model.score("Bad one. fine\nbadly bad!")
-    assert score == pytest.approx(1 - (1 - p(1)) * (1 - p(-2)) * (1 - p(2)))
+    assert score == pytest.approx(1 - (1 - p(1)) * (1 - p(2)))
     assert [(x["start"], x["end"]) for x in where] == [(0, 8), (14, 24)]
 
 
