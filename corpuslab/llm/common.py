@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Row bound below which an id table may be broadcast; beyond it joins shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table may be broadcast; beyond them joins shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
+#: Bits of the bitmap of hashed ids that spares rows a shuffle, and the ids up to which it tells enough of them apart.
+BITMAP_BITS, BITMAP_IDS = 1 << 28, 1 << 27
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -58,6 +63,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
+
+    It only learns of them when the driver collects garbage, which a driver
+    that does little else may not do for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A checkpoint folder of its own for what is done inside, deleted at the end."""
+    context, before = spark.sparkContext, shared_folder(spark)
+    context.setCheckpointDir(f"{before}/scratch-{uuid.uuid4().hex}")
+    own = context.getCheckpointDir()
+    try:
+        yield
+    finally:
+        context._jsc.sc().setCheckpointDir(before)
+        discard(spark, own)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -71,9 +105,75 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def sized(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df``, hinted for broadcast only if it is counted to be within ``limit``."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row takes in a broadcast table."""
+
+    def one(name: str, kind: T.DataType) -> Column:
+        col = F.col(f"`{name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            each = F.lit(16) if not isinstance(kind.elementType, (T.StringType, T.BinaryType)) else F.lit(64)
+            return F.coalesce(F.size(col), F.lit(0)) * each + 24
+        return F.lit(16)
+
+    return sum((one(f.name, f.dataType).cast("long") for f in df.schema.fields), F.lit(32).cast("long"))
+
+
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the rows of ``df``, measured, take at most ``limit`` bytes."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= (MAX_BROADCAST_BYTES if limit is None else limit)
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df``, hinted for broadcast only if its bytes are measured to be within ``limit``."""
+    return F.broadcast(df) if fits(df, limit) else df
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns as one struct ``row``, so that their names meet no others, and ``more`` beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame | None:
+    """``rows`` with ``_maybe``: whether a bitmap of the hashed ids may hold their ``_key``.
+
+    Its pieces of 4 kB are made by a distributed aggregate and broadcast, 32 MB
+    at most; None where there are too many ids for it to tell them apart.
+    """
+    if ids.count() > BITMAP_IDS:
+        return None
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    piece, bit = (lambda c: F.shiftright(at(c), 15)), (lambda c: at(c).bitwiseAND(F.lit(32767)))
+    bitmap = ids.groupBy(piece(F.col("_id")).alias("_piece")).agg(F.bitmap_construct_agg(bit(F.col("_id"))).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit(F.col("_key")), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, bit(F.col("_key")).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("_piece", piece(F.col("_key"))).join(F.broadcast(bitmap), "_piece", "left").withColumn("_maybe", hit).drop("_piece", "_bits")
+
+
+def without(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key isn't in the one column of ``ids``; null keys stay.
+
+    Few ids are broadcast.  Of more, a bitmap lets all rows pass that can't be
+    meant, and only the others are shuffled to meet the ids.
+    """
+    ids = checkpoint(ids.select(F.col(ids.columns[0]).alias("_id")).filter("_id is not null").distinct())
+    rows, same = packed(df, _key=key), F.col("_key") == F.col("_id")
+    if fits(ids):
+        return rows.join(F.broadcast(ids), same, "left_anti").select("row.*")
+    marked = _marked(rows, ids)
+    if marked is None:
+        return rows.join(ids, same, "left_anti").select("row.*")
+    return marked.filter("not _maybe").select("row").unionByName(marked.filter("_maybe").join(ids, same, "left_anti").select("row")).select("row.*")
+
+
+def among(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of ``df``, each as a struct ``row``, joined to the table ``ids`` by its column ``_id``, in the same ways as ``without``."""
+    rows, same = packed(df, _key=key), F.col("_key") == F.col("_id")
+    if fits(ids):
+        return rows.join(F.broadcast(ids), same)
+    marked = _marked(rows, ids)
+    return (rows if marked is None else marked.filter("_maybe")).join(ids, same)
 
 
 def crc_bucket(id_col: str | Column, modulus: int) -> Column:

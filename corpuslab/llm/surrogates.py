@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, checkpoint, map_rows
+from .common import checkpoint, map_rows
 
 # Given names that are recognised; a name's surrogate has its script and gender.
 GIVEN = {
@@ -24,6 +24,8 @@ GIVEN = {
 }
 # Titles that announce a person, by gender (n: either).
 TITLES = {"f": "Mrs Ms Miss Madam Madame Mme Frau Señora Sra Госпожа Κυρία", "m": "Mr Sir Herr Monsieur Señor Sr Господин Κύριος", "n": "Dr Prof"}
+#: Entities with another attempt that may go to all tasks.
+MAX_RETRIED = 100_000
 _SYLLABLES = {
     "latin": "bar ben cal dor el far gil hal jor kel lan mar nel or pel quin ros sal tor ul ver wil yar zel".split(),
     "cyrillic": "бар вел гор дан ель жар зор кал лан мар нор пел рос сал тор фед".split(),
@@ -302,7 +304,7 @@ def pseudonymise(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
         made = [replace(t, key, a) for t, a in zip(columns[1], attempts)]
         return [columns[0], [t for t, _ in made], [len(s) for _, s in made], [s for _, s in made]]
 
-    if retried.limit(MAX_BROADCAST_ROWS // 10 + 1).count() <= MAX_BROADCAST_ROWS // 10:
+    if retried.limit(MAX_RETRIED + 1).count() <= MAX_RETRIED:
         table = docs.sparkSession.sparkContext.broadcast({_code(r["kind"], r["norm"], r["trait"]): r["attempt"] for r in retried.collect()})
         return map_rows(docs.select(id_col, text_col), lambda c: out(c, [table.value] * len(c[0])), schema)
     entity = "array<struct<kind:string,norm:string,trait:string>>"

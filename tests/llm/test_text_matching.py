@@ -253,7 +253,7 @@ def test_given_names_stay_distinct():
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_collisions_are_resolved(spark, monkeypatch, limit):
     """So few e-mail names that first surrogates must meet."""
-    monkeypatch.setattr(surrogates, "MAX_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(surrogates, "MAX_RETRIED", limit)
     names = [f"{a}{b}@x.org" for a in "abcdefgh" for b in "0123456789"]
     rows = [(i, f"to {n} and {names[0]}") for i, n in enumerate(names)]
     out = {r.doc_id: r.text.split() for r in surrogates.pseudonymise(spark.createDataFrame(rows, DOCS), KEY).collect()}
