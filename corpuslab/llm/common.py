@@ -56,11 +56,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to Parquet in the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+def stored(df: DataFrame, name: str, folder: str | None = None) -> tuple[DataFrame, str]:
+    """Write to Parquet in the shared folder and read it again; also says where."""
+    path = f"{folder or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 def tidy(spark: SparkSession) -> None:
@@ -77,12 +77,12 @@ def tidy(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """A checkpoint folder of its own for what is done inside, deleted at the end."""
     context, before = spark.sparkContext, shared_folder(spark)
-    context.setCheckpointDir(f"{before}/scratch-{uuid.uuid4().hex}")
-    own = context.getCheckpointDir()
+    own = f"{before}/scratch-{uuid.uuid4().hex}"
+    context.setCheckpointDir(own)
     try:
         yield
     finally:
-        context._jsc.sc().setCheckpointDir(before)
+        getattr(context._jsc.sc(), "checkpointDir_$eq")(spark._jvm.scala.Option.apply(before))
         discard(spark, own)
 
 
@@ -200,6 +200,20 @@ def map_rows(df: DataFrame, fn: Callable[[list], list | None], schema: str) -> D
     return df.mapInArrow(run, schema)
 
 
+def row_test(spark: SparkSession, fn: Callable[[list], list], text: Column) -> Column:
+    """``fn`` of a batch of values, a boolean for each, as a column: rows can be filtered by it without a join."""
+    ship(spark)
+
+    @F.arrow_udf("boolean")
+    def run(values: pa.Array) -> pa.Array:
+        out: list = []
+        for piece in slices(pa.RecordBatch.from_arrays([values], ["v"])):
+            out += fn(piece.column(0).to_pylist())
+        return pa.array(out, pa.bool_())
+
+    return run(text)
+
+
 def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds about ``limit`` bytes (one row at least)."""
     parts = max(1, -(-batch.nbytes // limit))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_bucket, map_rows
+from .common import checkpoint, crc_bucket, map_rows, row_test
 from .learning import labelled_sample
 
 #: Bounds of the sample that a model is fitted on: documents, and bytes of text.
@@ -198,3 +198,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     return map_rows(
         docs.select(F.col(id_col), held_out(id_col), F.col(text_col)), run, f"doc_id {kind}, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
     )
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below the threshold, each judged by itself: nothing is joined or shuffled."""
+    context = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.filter(row_test(docs.sparkSession, lambda texts: [context.value.score(t, threshold)[0] < threshold for t in texts], F.col(text_col)))
