@@ -4,6 +4,12 @@ Five stages, each a corpus operator whose decisions take effect: documents
 scored toxic go, one document of each near-duplicate component stays,
 documents that hold benchmark items go, sources are mixed to target weights
 (a document may be taken twice), and what is left is placed in shards.
+
+Toxicity and decontamination judge each row by itself and mixing decides by
+a row's hash, so that none of them joins or shuffles texts; rows with null or
+repeated ids or texts are judged like all others.  Near-duplicates go by id and
+text.  Columns beside those of documents are kept, whatever their names;
+tables without rows give tables without rows.
 """
 
 from __future__ import annotations
@@ -11,10 +17,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpuslab.llm import mixing, neardup, sharding, tiling, toxicity
-from corpuslab.llm.common import checkpoint, read, sized, stored
+from corpuslab.llm.common import discard, read, scratch, shared_folder, stored
 
 #: The shards that the last stage fills.
 N_SHARDS = 24
@@ -22,15 +27,8 @@ N_SHARDS = 24
 NEAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone``; null ids stay."""
-    ids = checkpoint(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(sized(ids), docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score_toxicity(docs, model).filter("predicted = 1"))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, tiling.find_leaks(docs, read(spark, sf_dir, "benchmark")))
+    return tiling.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +60,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's rows are written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents; each one's rows are written as Parquet and read again.
+
+    What a stage checkpoints, and its predecessor's rows, are deleted once its own rows are written.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
+    home = shared_folder(spark)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), name, home)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
