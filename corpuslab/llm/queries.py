@@ -75,7 +75,8 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan_licences
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return scan_licences(docs, F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")))
+    part = lambda c: F.concat(F.lit("/"), F.coalesce(F.col(c), F.lit("-")))
+    return scan_licences(docs, F.concat(part("source"), part("lang"), F.lit("/"), F.col("doc_id").cast("string")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
