@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ _NAME = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 class Line:
     text: str
     linked: int
-    marked: bool
+    mark: int = 0  # the number of the outermost element around it that markup names as the article
     heading: bool = False
     place: int = 0  # the number of the innermost open container
     paragraph: bool = False
@@ -77,6 +78,7 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
     parts: list[str] = []
     state = {"linked": 0, "block": ""}
     open_marks: list[str] = []
+    n_marks = 0
     skip: list | None = None  # [name, depth, len(lines), named by class only]
     in_link, at, size = 0, 0, len(page)
     inside: list[tuple[str, int]] = []  # open containers
@@ -85,13 +87,13 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, state["linked"], bool(open_marks), state["block"] in _HEADINGS, inside[-1][1] if inside else 0, state["block"] == "p"))
+            lines.append(Line(text, state["linked"], n_marks if open_marks else 0, state["block"] in _HEADINGS, inside[-1][1] if inside else 0, state["block"] == "p"))
         parts.clear()
         state["linked"] = 0
 
     def removed() -> None:
         flush()
-        lines.extend(Line("", 0, bool(open_marks)) for _ in range(gap))
+        lines.extend(Line("", 0, n_marks if open_marks else 0) for _ in range(gap))
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -156,42 +158,62 @@ def strip_markup(page: str, gap: int = 3) -> list[Line]:
         if name == "a":
             in_link += 1
         if name not in _VOID and _marks(name, attrs):
+            n_marks += not open_marks
             open_marks.append(name)
     flush()
     return lines
 
 
+def surges(lines: Sequence[Line], sizes: Sequence[int], window: int, least: int) -> list[int]:
+    """The lines between surge and dive points.
+
+    Text surges at a line where the block of ``window`` lines exceeds ``least``,
+    past short lines without which it still does (but for headings), and dives
+    where it becomes empty.
+    """
+    blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    taken, i = [], 0
+    while i < len(lines):
+        lead = sizes[i] < least and not lines[i].heading and sum(sizes[i + 1 : i + window]) > least
+        if not sizes[i] or blocks[i] <= least or lead:
+            i += 1
+            continue
+        while i < len(lines) and blocks[i] > 0:
+            if sizes[i]:
+                taken.append(i)
+            i += 1
+    return taken
+
+
 def main_lines(lines: list[Line], window: int = 3, surge: int = 86) -> list[str]:
-    """The lines between surge and dive points of the line-block distribution.
+    """The lines of the main text, which surge and dive points of the line-block distribution locate.
 
     A block is ``window`` successive lines; its size is their length without
-    linked text, and a line that is all links counts as empty.  Text surges at
-    a line where the block exceeds ``surge``, past short lines without which it
-    still does (but for headings), and dives where it becomes empty.  Where markup names the article, lines
-    outside it count as empty, linked text counts and any text surges.  If no
-    block of an unmarked page is large, any text surges too.
-
-    On an unmarked page, what has text outside links between the first and the
-    last line found is kept too, and all paragraphs (p), linked ones included,
-    of the innermost containers that hold a paragraph found.
+    linked text, and a line that is all links counts as empty.  If no block
+    is large, any text surges.  Of what surges, the text goes on:
+
+    * Where markup names an article, to the ends of the article that it lies in;
+      articles without a surge, such as teasers, are left out unless none has one.
+    * Else over what has text outside links between its first and last line, on both sides over
+      the short lines of the same container up to the next removed element, and over all
+      paragraphs (p), linked ones included, of the innermost containers that hold a paragraph found.
     """
-    marked = any(x.marked and x.text for x in lines)
-    sizes = [(len(x.text) if marked else max(0, len(x.text) - x.linked)) * (x.marked or not marked) for x in lines]
-    blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    for least in (0,) if marked else (surge, 0):
-        taken, i = [], 0
-        while i < len(lines):
-            lead = sizes[i] < least and not lines[i].heading and sum(sizes[i + 1 : i + window]) > least
-            if not sizes[i] or blocks[i] <= least or lead:
-                i += 1
-                continue
-            while i < len(lines) and blocks[i] > 0:
-                if sizes[i]:
-                    taken.append(i)
-                i += 1
-        if taken and not marked and least:
+    marked = any(x.mark and x.text for x in lines)
+    sizes = [len(x.text) if x.mark else max(0, len(x.text) - x.linked) for x in lines]
+    for least in (surge, 0):
+        if marked:
+            found = {m for m in {x.mark for x in lines} - {0} if surges(*zip(*((x, n) for x, n in zip(lines, sizes) if x.mark == m)), window, least)}
+            taken = [i for i, x in enumerate(lines) if x.text and x.mark in found]
+        else:
+            taken = surges(lines, sizes, window, least)
+        if taken and least and not marked:
+            first, last = taken[0], taken[-1]
+            while first > 0 and sizes[first - 1] and lines[first - 1].place == lines[taken[0]].place:
+                first -= 1
+            while last + 1 < len(lines) and sizes[last + 1] and lines[last + 1].place == lines[taken[-1]].place:
+                last += 1
             places = {lines[i].place for i in taken if lines[i].paragraph}
-            taken = [i for i, x in enumerate(lines) if sizes[i] and taken[0] <= i <= taken[-1] or x.text and x.paragraph and x.place in places]
+            taken = [i for i, x in enumerate(lines) if sizes[i] and first <= i <= last or x.text and x.paragraph and x.place in places]
         if taken:
             return [lines[i].text for i in taken]
     return []
@@ -206,8 +228,10 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """``page_id, url, text, n_chars`` for each row of ``pages``.
 
     Null or empty html gives an empty text; null ids and urls stay null;
-    repeated rows are extracted each; truncated pages give what they hold.  A
-    page is one row's work, without a shuffle.
+    repeated rows are extracted each; pages of any length are read whole, and
+    truncated ones give what they hold.  Other columns, whatever their names,
+    play no part; an empty table gives no rows.  A page is one row's work,
+    without a shuffle.
     """
 
     def run(columns: list) -> list:
