@@ -16,8 +16,10 @@ from .common import checkpoint, ship, slices
 
 #: The sample that codebooks and the candidate share are fitted on.
 MAX_SAMPLE, MAX_SAMPLE_VALUES, SAMPLE_QUERIES = 20_000, 8_000_000, 200
-#: Rows of one side that a unit of reranking may hold.
-ENTRIES_A_UNIT, QUERIES_A_UNIT = 4096, 8192
+#: Rows of one side that a unit of reranking may hold, and queries of one task of the walk.
+ENTRIES_A_UNIT, QUERIES_A_UNIT, QUERIES_A_WALK = 4096, 8192, 64
+#: Centres of a codebook: the root of the entries' number, within these bounds.
+CENTRES = (4, 128)
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ class MultiIndex:
         return flags
 
 
-def fit(sample: np.ndarray, k: int, *, neighbours: int = 10, recall: float = 0.97, seed: int = 42) -> MultiIndex:
+def fit(sample: np.ndarray, k: int, *, neighbours: int = 10, recall: float = 0.95, seed: int = 42) -> MultiIndex:
     """Codebooks of ``k`` centres, and the share of entries with which a search
     inside the sample finds ``recall`` of the true neighbours on average.
 
@@ -105,7 +107,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     centres: int | None = None,
-    recall: float = 0.97,
+    recall: float = 0.95,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query row.
 
@@ -114,12 +116,15 @@ def nearest(
     with the same vector count once (with different vectors each is a
     candidate, and the smallest vector is the query).  Null ids and vectors,
     vectors that are empty, zero or hold null or non-finite components, and
-    those of another length than most take no part.
+    those of another length than most take no part.  Other columns, whatever
+    their names, play no part; an empty table, or one without queries, gives no rows.
 
     Equal vectors are one entry with their ``k + 1`` smallest ids, which no
     search can exceed.  The index is fitted on a bounded sample and holds all
-    entries.  Queries meet entries by the first half's centre, in units of
-    bounded size on both sides; each unit gives at most ``k`` rows a query.
+    entries.  The queries are dealt among tasks that walk the cells.  They meet
+    entries by the first half's centre, in units of
+    bounded size on both sides, where distances are taken to the entries of visited cells only;
+    each unit gives at most ``k`` rows a query.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -137,7 +142,7 @@ def nearest(
     )
     n = entries.count()
     rows = entries.orderBy("h", "v").select("v").limit(max(1, min(MAX_SAMPLE, MAX_SAMPLE_VALUES // usual["n"]))).collect()
-    index = fit(np.array([r["v"] for r in rows], float), centres or int(np.clip(4 * round(n**0.25), 4, 64)), neighbours=k, recall=recall)
+    index = fit(np.array([r["v"] for r in rows], float), centres or int(np.clip(round(n**0.5), *CENTRES)), neighbours=k, recall=recall)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(x: np.ndarray, batch: pa.RecordBatch) -> dict:
@@ -160,10 +165,12 @@ def nearest(
                     out[name].append(value)
         return out
 
-    asked = base.filter("q").groupBy("id").agg(F.min("v").alias("v"))
-    visits = _per_batch(asked, visit, "id long, c1 int, v binary, seen binary")
+    asked = checkpoint(base.filter("q").groupBy("id").agg(F.min("v").alias("v")))
+    n_asked = asked.count()
+    walks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_asked // QUERIES_A_WALK)))
+    visits = _per_batch(asked.repartition(walks, "id"), visit, "id long, c1 int, v binary, seen binary")
     parts_e = np.maximum(1, -(-counts.sum(1) // ENTRIES_A_UNIT)).tolist()
-    parts_q = max(1, -(-asked.count() // QUERIES_A_UNIT))
+    parts_q = max(1, -(-n_asked // QUERIES_A_UNIT))
     of = F.element_at(F.array(*[F.lit(int(x)) for x in parts_e]), F.col("c1") + 1)
     left = cells.withColumn("e", F.pmod(F.xxhash64("v"), of).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts_q - 1))))
     right = visits.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(parts_q)).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), of - 1)))
@@ -196,13 +203,20 @@ def _rerank(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
         if len(entries) and len(queries):
+            entries = entries.sort_values("c2", kind="stable")
             x = np.frombuffer(b"".join(entries["v"]), float).reshape(len(entries), -1)
             c2, ids = entries["c2"].to_numpy(), [list(i) for i in entries["ids"]]
+            starts = np.flatnonzero(np.append(True, np.diff(c2) != 0))
+            cells = list(zip(c2[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(c2)]))
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 q = np.frombuffer(b"".join(part["v"]), float).reshape(len(part), -1)
-                seen = np.frombuffer(b"".join(part["seen"]), bool).reshape(len(part), -1)[:, c2]
-                d = np.where(seen, squared(q, x), np.inf)
+                seen = np.frombuffer(b"".join(part["seen"]), bool).reshape(len(part), -1)
+                d = np.full((len(q), len(x)), np.inf)
+                for cell, a, b in cells:  # only who visited a cell is compared with its entries
+                    who = np.flatnonzero(seen[:, cell])
+                    if len(who):
+                        d[who, a:b] = squared(q[who], x[a:b])
                 keep = min(k + 1, d.shape[1])
                 edge = np.partition(d, keep - 1, axis=1)[:, keep - 1]
                 for i, own in enumerate(part["id"].tolist()):
