@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, sized
+from .common import checkpoint, fits, ship, sized
 
 #: Most sources, and most blocks over all sources, that the plan may hold; both bound what the driver receives and what is broadcast.
 MAX_SOURCES, MAX_BLOCKS = 100_000, 262_144
@@ -280,8 +280,13 @@ def _drawn(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col(source_col)).alias("_key"), _hash(mixture.seed, id_col, text_col).alias("_h"))
     dealt = _block(draw.sources, rows).join(F.broadcast(draw.blocks), ["_src", "_block"]).select("row", "_src", "_h", "_shards", "_open")
     less = F.slice("_shards", F.lit(1), F.size("_shards") - 1)
-    some = dealt.filter("_open").join(sized(draw.units), ["_src", "_h"], "left")
-    parts = [dealt.filter("not _open").select("row", "_h", "_shards"), some.select("row", "_h", F.when(F.col("_m") >= F.col("_c"), F.col("_shards")).otherwise(less).alias("_shards"))]
+    own = F.when(~F.col("_open") | (F.col("_m") >= F.col("_c")), F.col("_shards")).otherwise(less).alias("_shards")
+    if fits(draw.units):  # all rows in one pass; units lie in open blocks only
+        some = dealt.join(F.broadcast(draw.units), ["_src", "_h"], "left")
+        parts = [some.select("row", "_h", own)]
+    else:
+        some = dealt.filter("_open").join(draw.units, ["_src", "_h"], "left")
+        parts = [dealt.filter("not _open").select("row", "_h", "_shards"), some.select("row", "_h", own)]
     if draw.split:
         # all rows of a unit are alike, so that one of them stands for the copies of some
         one = some.filter("_m < _c").groupBy("_src", "_h").agg(F.first(F.struct("row", "_shards", "_m")).alias("x")).select("x.row", "_h", "x._shards", "x._m")
