@@ -228,6 +228,24 @@ def preview(text: Column, limit: int = 200) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounded as the exact binary value asks, and to the even digit where that is a tie.
+
+    The value is cut into two halves whose products with the power of ten are
+    exact, so that the sign of the distance to the tie is.
+    """
+    scale = F.lit(float(10**digits))
+
+    def done(x: Column) -> Column:
+        big = x * F.lit(134217729.0)
+        high = big - (big - x)
+        whole = F.floor(x * scale).cast("double")
+        beyond = (high * scale - whole - F.lit(0.5)) + (x - high) * scale
+        return (whole + F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(whole % 2)) / scale
+
+    return let(value.cast("double"), done)
+
+
 def story_id(n: Column) -> Column:
     return F.format_string("story_%05d", n)
 

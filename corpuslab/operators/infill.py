@@ -1,4 +1,9 @@
-"""Filling masks from candidate tokens, and scoring the result."""
+"""Filling masks from candidate tokens, and scoring the result.
+
+``restrict``, ``pick`` and ``choose`` work on the short candidate arrays that a
+model provider returns; ``distribution`` does the same on rows, for the corpus'
+own followers, of which a word may have millions.
+"""
 
 from __future__ import annotations
 
@@ -9,34 +14,53 @@ from corpuslab.functions import text as T
 
 START = "<s>"
 STRATEGIES = ("greedy", "top_k", "top_p", "top_k_top_p", "temperature")
+#: What stands for any word before a mask, and the most cells that a word's candidates are dealt into.
+_ANY, _CELLS = "\x00any", 1024
 
 
-def bigram_model(sentences: DataFrame, text_col: str = "sentence", top: int = 50) -> DataFrame:
-    """``prev, cands``: each word's most frequent followers with their probabilities (ties by token)."""
+def bigram_model(sentences: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """``prev, token, c``: how often each word follows another; all of them."""
     tokens = T.whitespace_tokens(F.lower(text_col))
     both = T.let(F.concat(F.array(F.lit(START)), tokens), lambda t: F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.struct(a.alias("prev"), b.alias("token"))))
     pairs = sentences.select(F.explode(both).alias("p"))
-    counts = pairs.select("p.*").groupBy("prev", "token").agg(F.count("*").alias("c"))
-    return _ranked(counts, top)
-
+    return pairs.select("p.*").groupBy("prev", "token").agg(F.count("*").alias("c"))
 
-def unigram_model(sentences: DataFrame, text_col: str = "sentence", top: int = 50) -> DataFrame:
-    """``cands`` of the whole corpus, in one row."""
-    counts = sentences.select(F.explode(T.whitespace_tokens(F.lower(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    best = counts.orderBy(F.desc("c"), "token").limit(top).join(F.broadcast(total)).select("token", (F.col("c") / F.col("n")).alias("p"))
-    return best.agg(F.collect_list(F.struct("p", "token")).alias("l")).select(_sorted(F.col("l")).alias("cands"))
 
+def unigram_model(sentences: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """``token, c``: the words of the whole corpus."""
+    return sentences.select(F.explode(T.whitespace_tokens(F.lower(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
 
-def _ranked(counts: DataFrame, top: int) -> DataFrame:
-    totals = counts.groupBy("prev").agg(F.sum("c").alias("n"))
-    w = Window.partitionBy("prev").orderBy(F.desc("c"), "token")
-    best = counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).join(totals, "prev")
-    return best.groupBy("prev").agg(F.collect_list(F.struct((F.col("c") / F.col("n")).alias("p"), "token")).alias("l")).select("prev", _sorted(F.col("l")).alias("cands"))
 
+def distribution(counts: DataFrame, strategy: str = "greedy", *, top_k: int = 10, top_p: float = 0.9, temperature: float = 1.0) -> DataFrame:
+    """``prev, token, rank, p, lo, hi``: the candidates that a strategy leaves after each word.
 
-def _sorted(cands: Column) -> Column:
-    return F.array_sort(cands, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).when(a["token"] < b["token"], -1).when(a["token"] > b["token"], 1).otherwise(0))
+    Temperature, top-k and nucleus cuts come in this order, over all followers
+    of a word, renormalised after each; the nucleus holds the first candidates
+    until their sum reaches ``top_p``.  A draw ``u`` takes the candidate with
+    ``lo <= u < hi``.  Candidates are rows, so that a word may have any number
+    of them, in the order of their counts and then of themselves.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    own = Window.partitionBy("prev")
+    ordered = own.orderBy(F.desc("c"), "token")
+    # weights are powers of counts, whose sums are exact as long as both are whole
+    rows = counts.withColumn("rank", F.row_number().over(ordered)).withColumn("_w", F.col("c").cast("double"))
+    if strategy == "greedy":
+        rows = rows.withColumn("p", F.col("_w") / F.sum("_w").over(own))
+        return rows.filter("rank = 1").select("prev", "token", "rank", "p", F.lit(0.0).alias("lo"), F.lit(2.0).alias("hi"))
+    if temperature != 1.0:
+        rows = rows.withColumn("_w", F.pow("_w", F.lit(1.0 / temperature)))
+    if "top_k" in strategy:
+        rows = rows.filter(F.col("rank") <= top_k)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    if "top_p" in strategy:
+        rows = rows.withColumn("_all", F.sum("_w").over(own)).filter(F.col("_before") / F.col("_all") < F.lit(top_p - 1e-12))
+    rows = rows.withColumn("_all", F.sum("_w").over(own))
+    last = F.col("rank") == F.max("rank").over(own)
+    return rows.select(
+        "prev", "token", "rank", (F.col("_w") / F.col("_all")).alias("p"), (F.col("_before") / F.col("_all")).alias("lo"), F.when(last, F.lit(2.0)).otherwise((F.col("_before") + F.col("_w")) / F.col("_all")).alias("hi")
+    )
 
 
 def _total(cands: Column) -> Column:
@@ -82,15 +106,27 @@ def fill_masks(pairs: DataFrame, bigrams: DataFrame, unigrams: DataFrame, *, id_
     """Add ``infilled, infill_score, sampling_strategy, sampling_params``.
 
     Each exact ``<mask>`` token takes a candidate that follows the token before
-    it (the corpus' most frequent ones where that is unknown or a mask).
+    it (the whole corpus' words where that is unknown or a mask).
     ``infill_score`` is the mean log probability; without masks it is null.
+
+    A word's candidates are dealt into cells of ``[0, 1)`` by their intervals,
+    as many cells as candidates, so a draw only meets the few of its own cell.
     """
     tokens = pairs.select(id_col, F.posexplode(F.concat(F.array(F.lit(START)), T.whitespace_tokens(F.col("masked")))).alias("i", "token"))
     prev = F.lag("token").over(Window.partitionBy(id_col).orderBy("i"))
     holes = tokens.withColumn("prev", F.lower(prev)).filter((F.col("token") == T.MASK) & (F.col("i") > 0))
-    u = T.hash_unit(F.lit(str(seed)), F.col(id_col), F.col("i").cast("string"))
-    found = holes.join(bigrams, "prev", "left").join(F.broadcast(unigrams.withColumnRenamed("cands", "_all")))
-    chosen = found.withColumn("_c", choose(F.coalesce("cands", "_all"), strategy, u, **params)).select(id_col, "i", F.col("_c.token").alias("new"), F.ln(F.col("_c.p")).alias("lp"))
+    holes = holes.select(id_col, "i", "prev", T.hash_unit(F.lit(str(seed)), F.col(id_col), F.col("i").cast("string")).alias("_u"))
+    counts = bigrams.select("prev", "token", "c").unionByName(unigrams.select(F.lit(_ANY).alias("prev"), "token", "c"))
+    cut = distribution(counts, strategy, **{k: v for k, v in params.items() if k in ("top_k", "top_p", "temperature")})
+    cells = cut.groupBy("prev").agg(F.least(F.count("*"), F.lit(_CELLS)).alias("_cells"))
+    known = holes.join(cells, "prev", "left")
+    unknown = cells.filter(F.col("prev") == _ANY).select(F.col("_cells").alias("_any"))
+    asked = known.join(F.broadcast(unknown), F.lit(True), "left").select(
+        id_col, "i", "_u", F.when(F.col("_cells").isNull(), F.lit(_ANY)).otherwise(F.col("prev")).alias("prev"), F.floor(F.col("_u") * F.coalesce("_cells", "_any")).alias("_cell")
+    )
+    ends = F.floor(F.least("hi", F.lit(1.0 - 1e-9)) * F.col("_cells")), F.floor(F.least("lo", F.lit(1.0 - 1e-9)) * F.col("_cells"))
+    offered = cut.join(cells, "prev").select("prev", "token", "p", "lo", "hi", F.explode(F.sequence(ends[1], F.greatest(*ends))).alias("_cell"))
+    chosen = asked.join(offered, ["prev", "_cell"]).filter((F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi"))).select(id_col, "i", F.col("token").alias("new"), F.ln("p").alias("lp"))
     filled = tokens.filter("i > 0").join(chosen, [id_col, "i"], "left").groupBy(id_col).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("new", "token").alias("t")))), lambda x: x["t"]), " ").alias("infilled"), F.round(F.avg("lp"), 6).alias("infill_score")
     )
@@ -98,6 +134,15 @@ def fill_masks(pairs: DataFrame, bigrams: DataFrame, unigrams: DataFrame, *, id_
     return pairs.join(filled, id_col, "left").withColumn("sampling_strategy", F.lit(strategy)).withColumn("sampling_params", settings)
 
 
+def text_cosine(a: Column, b: Column) -> Column:
+    """The cosine of the texts' word counts, the default semantic similarity where no sentence vectors are given; 0 for a text without words."""
+    words = lambda c: T.whitespace_tokens(F.lower(c))
+    count = lambda x, w: F.size(F.filter(x, lambda v: v == w))
+    dot = lambda x, y: F.aggregate(F.transform(F.array_distinct(x), lambda w: count(x, w) * count(y, w)), F.lit(0), lambda s, v: s + v)
+    share = lambda x, y: T.let(F.sqrt(dot(x, x).cast("double")) * F.sqrt(dot(y, y).cast("double")), lambda n: F.when(n > 0, dot(x, y) / n).otherwise(F.lit(0.0)))
+    return T.let(words(a), lambda x: T.let(words(b), lambda y: share(x, y)))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     words = lambda c: F.array_distinct(T.whitespace_tokens(F.lower(c)))
     share = lambda x, y: T.let(F.size(F.array_union(x, y)), lambda n: F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(F.lit(0.0)))

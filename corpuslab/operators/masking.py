@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as T
 
 
+#: Phrases of one topic, and of all topics, up to which they are looked up in a broadcast set.
+MAX_PHRASES, MAX_BROADCAST_PHRASES = 200, 200_000
 _TOKEN = r"(?U)(\w+|[^\w\s])\s*"
 
 
@@ -52,9 +54,10 @@ def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "
     """All occurrences of a topic's keywords in its paragraphs: ``id, topic, start, end, text``.
 
     Tokens are compared in small letters; keywords may have several tokens and
-    occurrences may overlap.  Each paragraph emits its windows of the lengths
-    that keywords have and meets them by an equi-join on topic and phrase.
-    ``lengths`` names these where they are known, which saves a job.
+    occurrences may overlap.  Few keywords, counted first, go to all tasks as a
+    set for each topic, and only windows that match are emitted.  More of them
+    meet all windows of the lengths that keywords have by an equi-join on topic
+    and phrase.  ``lengths`` names these where they are known, which saves a job.
     """
     phrase = F.array_join(F.regexp_extract_all(F.lower("word"), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0)), " ")
     wanted = keywords.select(F.col(topic_col).alias("_topic"), phrase.alias("_phrase")).filter("_phrase <> ''").distinct()
@@ -62,6 +65,13 @@ def match_phrases(paragraphs: DataFrame, keywords: DataFrame, *, id_col: str = "
         lengths = [r[0] for r in wanted.select(F.size(F.split("_phrase", " ")).alias("n")).distinct().orderBy("n").collect()]
     if not lengths:
         return paragraphs.select(id_col, topic_col, F.lit(0).alias("start"), F.lit(0).alias("end"), F.col(text_col).alias("text")).filter(F.lit(False))
+    sets = wanted.groupBy("_topic").agg(F.collect_set("_phrase").alias("_phrases"))
+    size = sets.agg(F.max(F.size("_phrases")).alias("most"), F.sum(F.size("_phrases")).alias("all"), F.count("*").alias("topics")).first()
+    if size["most"] <= MAX_PHRASES and size["all"] <= MAX_BROADCAST_PHRASES:
+        # only what matches leaves a paragraph's array of windows
+        near = paragraphs.join(F.broadcast(sets), F.col(topic_col) == F.col("_topic"))
+        hits = F.filter(_windows(F.col(text_col), lengths), lambda w: F.array_contains(F.col("_phrases"), w["phrase"]))
+        return near.select(id_col, topic_col, F.explode(hits).alias("w")).select(id_col, topic_col, "w.start", "w.end", "w.text")
     rows = paragraphs.select(id_col, topic_col, F.explode(_windows(F.col(text_col), lengths)).alias("w")).select(id_col, topic_col, "w.*")
     return rows.join(wanted, (F.col(topic_col) == F.col("_topic")) & (F.col("phrase") == F.col("_phrase"))).select(id_col, topic_col, "start", "end", "text")
 
@@ -115,5 +125,5 @@ def masking_report(variants: DataFrame, id_col: str = "paragraph_id") -> DataFra
     """Paragraphs with spans, variants, and masks a variant (2 digits)."""
     return variants.agg(
         F.countDistinct(F.when(F.size("masked_tokens") > 0, F.col(id_col))).alias("paragraphs_processed"), F.count("*").alias("variants"),
-        F.round(F.sum(F.size("masked_tokens")) / F.greatest(F.count("*"), F.lit(1)), 2).alias("avg_masks"),
+        T.round_half_even(F.sum(F.size("masked_tokens")) / F.greatest(F.count("*"), F.lit(1)), 2).alias("avg_masks"),
     )

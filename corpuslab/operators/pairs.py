@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab import providers
 from corpuslab.functions import text as T
 
 
@@ -29,12 +30,12 @@ def sentence_pairs(
     min_tokens: int = 4,
     mask_min: float = 0.05,
     mask_max: float = 0.40,
-    has_verb: Callable[[Column], Column] | None = None,
+    has_verb: Callable[[Column], Column] | None = providers.verb_test(),
     count: Callable[[Column], Column] = T.token_count,
 ) -> DataFrame:
     """``pair_id, topic_id, original, masked, mask_ratio, length`` of the usable pairs.
 
-    A pair needs a mask, enough tokens, a verb (if a test for it is given), a
+    A pair needs a mask, enough tokens, a verb (``has_verb`` tests for it; None: no such rule), a
     mask ratio within bounds, no heading and no short line in capitals.  With a
     ``vocabulary`` (``topic_id, word``), a topic in it needs one of its words
     among the original's tokens.  Equal pairs count once, the first by ``order``.
@@ -56,7 +57,7 @@ def sentence_pairs(
         rows = rows.join(words, "topic_id", "left").filter(F.col("_v").isNull() | F.arrays_overlap(tokens, F.col("_v"))).drop("_v")
     first = F.row_number().over(Window.partitionBy("original", "masked").orderBy(*order, "sent_idx"))
     rows = rows.withColumn("_n", first).filter("_n = 1")
-    return rows.select(T.content_id(F.col("original"), F.col("masked")).alias("pair_id"), "topic_id", "original", "masked", F.round("_r", 3).alias("mask_ratio"), F.col("length").cast("int").alias("length"))
+    return rows.select(T.content_id(F.col("original"), F.col("masked")).alias("pair_id"), "topic_id", "original", "masked", T.round_half_even(F.col("_r"), 3).alias("mask_ratio"), F.col("length").cast("int").alias("length"))
 
 
 def pair_stats(pairs: DataFrame) -> DataFrame:
@@ -64,6 +65,6 @@ def pair_stats(pairs: DataFrame) -> DataFrame:
     masks = F.size(F.filter(T.whitespace_tokens(F.col("masked")), lambda w: w == T.MASK))
     a = pairs.agg(F.count("*").alias("total_pairs"), F.sum("length").alias("t"), F.sum(masks).alias("m"))
     return a.select(
-        "total_pairs", F.round(F.coalesce(F.col("t") / F.greatest("total_pairs", F.lit(1)), F.lit(0.0)), 2).alias("avg_len"),
-        F.round(F.coalesce(F.col("m") / F.greatest("t", F.lit(1)), F.lit(0.0)), 3).alias("avg_mask_ratio"), F.lit(0).cast("long").alias("unique_pairs_removed"),
+        "total_pairs", T.round_half_even(F.coalesce(F.col("t") / F.greatest("total_pairs", F.lit(1)), F.lit(0.0)), 2).alias("avg_len"),
+        T.round_half_even(F.coalesce(F.col("m") / F.greatest("t", F.lit(1)), F.lit(0.0)), 3).alias("avg_mask_ratio"), F.lit(0).cast("long").alias("unique_pairs_removed"),
     )

@@ -76,4 +76,4 @@ def balanced(items: DataFrame, total: int = 1000, *, id_col: str = "sentence_id"
 
     labels = items.select("label").distinct().agg(F.count("*").alias("_k"))
     ranked = items.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(splits.md5_order(seed, id_col), id_col)))
-    return ranked.join(F.broadcast(labels)).filter(F.col("_n") <= F.floor(F.lit(total) / F.col("_k"))).drop("_n", "_k")
+    return ranked.filter(F.col("_n") <= total).join(F.broadcast(labels)).filter(F.col("_n") <= F.floor(F.lit(total) / F.col("_k"))).drop("_n", "_k")

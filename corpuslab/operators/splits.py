@@ -7,20 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.session import checkpoint
 
 def global_rank(df: DataFrame, coarse: Sequence[str], fine: Sequence[str], name: str = "rank") -> DataFrame:
     """Number all rows from 1 in the order of ``coarse + fine`` without one task seeing them all.
 
-    The rows before each ``coarse`` value are summed over its few distinct
-    values; inside a value a window counts on.
+    The rows are sorted by ranges and checkpointed with their place in a
+    partition; the partitions' counts, one row each, are summed up before it.
     """
-    counts = df.groupBy(*coarse).agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy(*coarse).orderBy(*fine))
-    left = df.withColumn("_n", inside).alias("l")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in coarse]
-    joined = left.join(before.alias("r"), on)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._n") + F.col("r._before")).cast("long").alias(name))
+    place = F.monotonically_increasing_id()
+    ordered = checkpoint(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate([*coarse, *fine])]).orderBy(*[f"_{i}" for i in range(len(coarse) + len(fine))]).select("_row", place.alias("_m")))
+    part = F.shiftright("_m", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return ordered.withColumn("_part", part).join(F.broadcast(before), "_part").select("_row.*", rank.cast("long").alias(name))
 
 
 def time_split(df: DataFrame, year: str = "publication_year", month: str = "publication_month", order: Sequence[str] = (), train: float = 0.65, dev: float = 0.8) -> DataFrame:
@@ -54,7 +55,8 @@ def stratified_sample(df: DataFrame, total: int = 250, score: str = "score", key
     strata = valid.select(score).distinct().withColumn("_i", F.row_number().over(Window.orderBy(score))).withColumn("_k", F.count("*").over(Window.partitionBy()))
     strata = strata.withColumn("_quota", F.floor(F.lit(total) / F.col("_k")) + F.when(F.col("_i") <= F.lit(total) % F.col("_k"), 1).otherwise(0)).select(score, "_quota")
     ranked = valid.withColumn("_n", F.row_number().over(Window.partitionBy(score).orderBy(md5_order(seed, key), key)))
-    return ranked.join(F.broadcast(strata), score).filter("_n <= _quota").select(*df.columns)
+    # no score gives more than the total, so that a task needn't sort more than that
+    return ranked.filter(F.col("_n") <= total).join(F.broadcast(strata), score).filter("_n <= _quota").select(*df.columns)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "sample_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,28 @@ def ngrams(tokens: Column, n: int) -> Column:
     return T.let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
-def term_vocabulary(docs: DataFrame, tokens: str = "tokens", *, ngram_range: tuple[int, int] = (1, 3), min_df: int = 3, max_df: float = 0.95, max_features: int = 10_000) -> DataFrame:
-    """``term, df, tf`` of the most frequent n-grams within the document frequency bounds."""
-    grams = F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in range(ngram_range[0], ngram_range[1] + 1)]))
+def without_stopwords(tokens: Column, stop_words: Sequence[str]) -> Column:
+    """The tokens that are no stop words; n-grams then reach over the gaps."""
+    return F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
+
+
+def term_vocabulary(
+    docs: DataFrame, tokens: str = "tokens", *, ngram_range: tuple[int, int] = (1, 3), stop_words: Sequence[str] = (), min_df: int = 3, max_df: float = 0.95, max_features: int = 10_000
+) -> DataFrame:
+    """``term, df, tf`` of the most frequent n-grams within the document frequency bounds, made of what are no stop words.
+
+    A document's n-grams are sorted, so that each is marked where it stands
+    first; one pass then counts both occurrences and documents.
+    """
     total = docs.agg(F.count("*").alias("_n"))
-    each = docs.select(grams.alias("g"))
-    once = each.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    counts = each.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("tf")).join(once, "term").select("term", "df", "tf")
+
+    def marked(grams: Column) -> Column:
+        before = lambda g: F.concat(F.array(F.lit(None).cast("string")), F.slice(g, F.lit(1), F.greatest(F.size(g) - 1, F.lit(0))))
+        return T.let(F.array_sort(grams), lambda g: F.when(F.size(g) > 0, F.zip_with(g, before(g), lambda x, y: F.struct(x.alias("term"), F.when(x.eqNullSafe(y), 0).otherwise(1).alias("first")))))
+
+    words = without_stopwords(F.col(tokens), stop_words)
+    grams = T.let(words, lambda w: marked(F.flatten(F.array(*[ngrams(w, n) for n in range(ngram_range[0], ngram_range[1] + 1)]))))
+    counts = docs.select(F.inline(grams)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("tf"))
     kept = counts.join(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * F.col("_n"))).drop("_n")
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
 

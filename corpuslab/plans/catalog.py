@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab import providers
@@ -51,17 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return io.spread(df, _KEYS[name]) if name in _KEYS else df
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents of ASCII text, where both engines agree on words."""
-    return table(spark, sf_dir, "documents").filter("lang = 'en' and length(text) = octet_length(text)").select("doc_id", "text", "source")
-
-
-def every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, for the queries that no SQL holds to ``english``."""
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
-EN = "en AS (SELECT doc_id, text, source FROM documents WHERE lang = 'en' AND length(text) = strlen(text))"
+EN = "en AS (SELECT doc_id, text, source FROM documents)"
+# What Spark's (?U)\w and its complement match, in DuckDB's patterns; and a sentence's words and single signs.
+_W, _NW = "[\\p{L}\\p{M}\\p{N}_]", "[^\\p{L}\\p{M}\\p{N}_\\s]"
+_SIGNS = f"{_W}+|{_NW}"
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +90,13 @@ SCORES = "s AS (SELECT doc_id, source, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.expr("case doc_id % 29 when 0 then 'Answer: ' when 1 then 'Sentence: ' when 2 then 'The most appropriate ' when 3 then 'Rewritten sentence: ' else '' end")
     original = F.expr("case when doc_id % 31 = 0 then concat('Chapter ', text) when doc_id % 37 = 0 then null when doc_id % 41 = 0 then 'short' else text end")
-    modified = F.when(F.expr("doc_id % 43 = 0"), "Singlewordonly").otherwise(F.concat(head, F.substring("text", 1, 80)))
+    modified = F.when(F.expr("doc_id % 43 = 0"), "Singlewordonly").otherwise(F.concat(head, F.col("text")))
     return scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", original.alias("original_text"), modified.alias("modified_text")), "doc_id").withColumnRenamed("doc_id", "id")
 
 
 ANNOTATIONS = f"""{SCORES}, ann AS (
   SELECT d.doc_id AS id, s.score, CASE WHEN d.doc_id % 31 = 0 THEN 'Chapter ' || text WHEN d.doc_id % 37 = 0 THEN NULL WHEN d.doc_id % 41 = 0 THEN 'short' ELSE text END AS original_text,
-         CASE WHEN d.doc_id % 43 = 0 THEN 'Singlewordonly' ELSE (CASE d.doc_id % 29 WHEN 0 THEN 'Answer: ' WHEN 1 THEN 'Sentence: ' WHEN 2 THEN 'The most appropriate ' WHEN 3 THEN 'Rewritten sentence: ' ELSE '' END) || substr(text, 1, 80) END AS modified_text
+         CASE WHEN d.doc_id % 43 = 0 THEN 'Singlewordonly' ELSE (CASE d.doc_id % 29 WHEN 0 THEN 'Answer: ' WHEN 1 THEN 'Sentence: ' WHEN 2 THEN 'The most appropriate ' WHEN 3 THEN 'Rewritten sentence: ' ELSE '' END) || text END AS modified_text
   FROM documents d JOIN s ON s.doc_id = d.doc_id
 ), rules AS (
   SELECT *, NOT (starts_with(modified_text, 'Answer:') OR starts_with(modified_text, 'Sentence:') OR starts_with(modified_text, 'The most appropriate') OR starts_with(modified_text, 'Rewritten sentence:')) AS a,
@@ -108,9 +105,8 @@ ANNOTATIONS = f"""{SCORES}, ann AS (
 )"""
 
 
-def sentences(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
-    e = docs(spark, sf_dir)
-    rows = e.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.withColumn("sentence_id", F.col("doc_id") * 100_000 + F.col("pos"))
 
 
@@ -119,25 +115,28 @@ SENTENCES = f"""{EN}, sl AS (SELECT doc_id, string_split(regexp_replace({STRIP.f
 sent AS (SELECT doc_id, pos, sentence, doc_id * 100000 + pos AS sentence_id FROM (SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM sl))"""
 
 
-def topic_docs(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
-    """Documents with topic and words; of ``every`` one, those without a label have topic -1."""
+def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their words and topic, -1 where they have no label."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("topic_id"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+" if docs is english else r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
-    rows = docs(spark, sf_dir).join(labels, "doc_id", "inner" if docs is english else "left")
-    return rows.select("doc_id", F.coalesce("topic_id", F.lit(-1)).alias("topic_id"), "text", words.alias("tokens"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
+    return documents(spark, sf_dir).join(labels, "doc_id", "left").select("doc_id", F.coalesce("topic_id", F.lit(-1)).alias("topic_id"), "text", words.alias("tokens"))
 
 
-def keywords(spark: SparkSession, sf_dir: str, n: int = 10, docs: Query = english) -> DataFrame:
-    grams = F.concat(F.col("tokens"), topics.ngrams(F.col("tokens"), 2))
-    return topics.top_keywords(topics.class_tf_idf(topic_docs(spark, sf_dir, docs).select("topic_id", F.explode(grams).alias("word"))), n)
+def keywords(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+    """Each topic's best words and pairs of words, without stop words."""
+    words = topics.without_stopwords(F.col("tokens"), T.stopwords())
+    grams = T.let(words, lambda w: F.concat(w, topics.ngrams(w, 2)))
+    return topics.top_keywords(topics.class_tf_idf(topic_docs(spark, sf_dir).select("topic_id", F.explode(grams).alias("word"))), n)
 
 
-TOKENS = f"{EN}, tok AS (SELECT d.doc_id, e.label::INTEGER AS topic_id, d.text, regexp_extract_all(lower(d.text), '[a-z]+') AS ws FROM en d JOIN embeddings e ON e.vec_id = d.doc_id)"
+_STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.stopwords()) + "]"
+TOKENS = f"""{EN}, raw AS (SELECT d.doc_id, coalesce(e.label, -1)::INTEGER AS topic_id, d.text, regexp_extract_all(lower(d.text), '\\p{{L}}[\\p{{L}}\\p{{M}}]*') AS ws FROM en d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+tok AS (SELECT doc_id, topic_id, text, ws, list_filter(ws, lambda w: NOT list_contains({_STOP_SQL}, w)) AS cs FROM raw)"""
 KEYWORDS = f"""{TOKENS}, terms AS (
-  SELECT topic_id, unnest(ws) AS word FROM tok UNION ALL SELECT topic_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM tok
+  SELECT topic_id, unnest(cs) AS word FROM tok UNION ALL SELECT topic_id, unnest(list_transform(range(1, len(cs)), lambda i: cs[i] || ' ' || cs[i + 1])) FROM tok
 ), tf AS (SELECT topic_id, word, count(*) AS tf FROM terms GROUP BY ALL), fr AS (SELECT word, sum(tf) AS f FROM tf GROUP BY 1),
 av AS (SELECT avg(s)::DOUBLE AS a FROM (SELECT sum(tf)::DOUBLE AS s FROM tf GROUP BY topic_id)),
-sc AS (SELECT topic_id, tf.word, round(tf * ln(1 + a / f::DOUBLE), 6) AS score FROM tf JOIN fr USING (word), av),
+sc AS (SELECT topic_id, tf.word, round(tf * ln(1 + a / f::DOUBLE), 6) AS score FROM tf JOIN fr USING (word), av WHERE topic_id <> -1),
 kw AS (SELECT topic_id, (row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word))::INTEGER AS rank, word, score FROM sc QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word) <= 10)"""
 
 
@@ -238,7 +237,7 @@ def q_to_number(spark, sf_dir):
 def _contractions_sql(x: str) -> str:
     for short, long in T.CONTRACTIONS.items():
         quoted = short.replace("'", "''")
-        x = f"regexp_replace({x}, '(\\w){quoted}\\b', '\\1{long}', 'g')" if short[0] == "'" else f"regexp_replace({x}, '{quoted}\\b', '{long}', 'g')"
+        x = f"regexp_replace({x}, '({_W}){quoted}\\b', '\\1{long}', 'g')" if short[0] == "'" else f"regexp_replace({x}, '{quoted}\\b', '{long}', 'g')"
     return x
 
 
@@ -255,12 +254,12 @@ _SPARK_SHORTENED, _SPARK_HYPHENED = (x.replace("''", "\\'") for x in (_SHORTENED
 
 @query(f"WITH {EN} SELECT doc_id, md5({_contractions_sql(_SHORTENED)}) AS h FROM en")
 def q_contractions(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", F.md5(T.expand_contractions(F.expr(_SPARK_SHORTENED))).alias("h"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.expand_contractions(F.expr(_SPARK_SHORTENED))).alias("h"))
 
 
 @query(f"WITH {EN} SELECT doc_id, md5({_hyphens_sql(_HYPHENED)}) AS h FROM en")
 def q_hyphens(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", F.md5(T.normalize_hyphens(F.expr(_SPARK_HYPHENED))).alias("h"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.normalize_hyphens(F.expr(_SPARK_HYPHENED))).alias("h"))
 
 
 _NORMAL = f"trim(regexp_replace({_hyphens_sql(_contractions_sql(_HYPHENED))}, '\\s+', ' ', 'g'))"
@@ -268,7 +267,7 @@ _NORMAL = f"trim(regexp_replace({_hyphens_sql(_contractions_sql(_HYPHENED))}, '\
 
 @query(f"WITH {EN} SELECT doc_id, {_NORMAL} AS normal FROM en")
 def q_normalize(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", T.normalize_text(F.expr(_SPARK_HYPHENED)).alias("normal"))
+    return documents(spark, sf_dir).select("doc_id", T.normalize_text(F.expr(_SPARK_HYPHENED)).alias("normal"))
 
 
 def _valid_sql(w: str, least: int, ratio: float) -> str:
@@ -285,13 +284,12 @@ def q_valid_words(spark, sf_dir):
     return w.select("word", T.is_valid_word(F.col("word")).alias("valid"), T.is_valid_word(F.col("word"), PIPELINE).alias("valid_strict"))
 
 
-_STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.stopwords()) + "]"
 _CLEAN = f"list_filter(regexp_extract_all(lower({_NORMAL}), '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_matches(w, '^\\p{{L}}+$') AND {_valid_sql('w', 3, 0.7)} AND NOT list_contains({_STOP_SQL}, w))"
 
 
 @query(f"WITH {EN}, c AS (SELECT doc_id, {_CLEAN} AS ws FROM en) SELECT doc_id, array_to_string(ws, ' ') AS clean, len(ws)::INTEGER AS n FROM c WHERE len(ws) >= 10")
 def q_clean_text(spark, sf_dir):
-    c = english(spark, sf_dir).select("doc_id", T.clean_tokens(F.expr(_SPARK_HYPHENED), PIPELINE).alias("ws"))
+    c = documents(spark, sf_dir).select("doc_id", T.clean_tokens(F.expr(_SPARK_HYPHENED), PIPELINE).alias("ws"))
     return c.filter(F.size("ws") >= 10).select("doc_id", F.array_join("ws", " ").alias("clean"), F.size("ws").alias("n"))
 
 
@@ -312,7 +310,7 @@ _VERBS = "[" + ", ".join(f"'{v}'" for v in providers.VERBS) + "]"
 
 @query(f"""WITH {SENTENCES}, f AS (SELECT sentence_id, {_FLAGGED} AS s FROM sent)
 SELECT sentence_id, regexp_matches({STRIP.format('s')}, '(?i)^(CHAPTER|BOOK|PART|SECTION|THE END|END)\\b[\\s\\W\\d]*$') AS heading, len(regexp_extract_all(s, '\\S+')) <= 6 AND upper({STRIP.format('s')}) = {STRIP.format('s')} AND lower({STRIP.format('s')}) <> {STRIP.format('s')} AS caps,
-len(list_intersect(regexp_extract_all(lower(s), '[a-z0-9]+'), {_VERBS})) > 0 AS verb, len(regexp_extract_all(s, '\\w+|[^\\w\\s]'))::INTEGER AS n_tokens FROM f""")
+len(list_intersect(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+'), {_VERBS})) > 0 AS verb, len(regexp_extract_all(s, '{_SIGNS}'))::INTEGER AS n_tokens FROM f""")
 def q_sentence_flags(spark, sf_dir):
     s = sentences(spark, sf_dir).select("sentence_id", F.expr(_FLAGGED).alias("s"))
     c = F.col("s")
@@ -334,7 +332,7 @@ def q_mask_ratio(spark, sf_dir):
 def q_apply_mask(spark, sf_dir):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 5), (10, 13), (14, 20), (21, 30))])
     text = F.concat(F.substring("text", 1, 9), F.lit(" abc abcdef abcdefghi"), F.substring(F.col("text"), F.lit(31), F.length("text")))
-    return english(spark, sf_dir).filter("length(text) > 40").select("doc_id", T.apply_mask(text, spans).alias("masked"))
+    return documents(spark, sf_dir).filter("length(text) > 40").select("doc_id", T.apply_mask(text, spans).alias("masked"))
 
 
 @query(f"WITH {PAIRS} SELECT doc_id, NOT a AS residual FROM ok")
@@ -377,11 +375,11 @@ def q_line_paragraphs(spark, sf_dir):
     return extract.segment_paragraphs(d)
 
 
-@query(f"""WITH RECURSIVE {SENTENCES}, ss AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sentence AS s, len(regexp_extract_all(sentence, '\\w+|[^\\w\\s]')) AS k FROM sent WHERE sentence <> ''),
+@query(f"""WITH RECURSIVE {SENTENCES}, ss AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sentence AS s, len(regexp_extract_all(sentence, '{_SIGNS}')) AS k FROM sent WHERE sentence <> ''),
 pack(doc_id, i, chunk, n) AS (SELECT doc_id, i, 0, k FROM ss WHERE i = 1 UNION ALL SELECT ss.doc_id, ss.i, CASE WHEN n + k > 100 THEN chunk + 1 ELSE chunk END, CASE WHEN n + k > 100 THEN k ELSE n + k END FROM pack JOIN ss ON ss.doc_id = pack.doc_id AND ss.i = pack.i + 1)
 SELECT doc_id, chunk::INTEGER AS paragraph_index, string_agg(s, ' ' ORDER BY i) AS paragraph_text FROM pack JOIN ss USING (doc_id, i) GROUP BY ALL""")
 def q_token_chunks(spark, sf_dir):
-    return extract.chunk_paragraphs(english(spark, sf_dir).select("doc_id", F.col("text").alias("full_text")), max_tokens=100)
+    return extract.chunk_paragraphs(documents(spark, sf_dir).select("doc_id", F.col("text").alias("full_text")), max_tokens=100)
 
 
 _FILE = "CASE WHEN doc_id % 10 = 9 THEN 'notes-' || doc_id ELSE 'amazing_stories-' || (doc_id % 7 + 1) || '.' || (doc_id % 12 + 1) || '(' || (1926 + doc_id % 7) || '.' || (doc_id % 12 + 1) || ').html' END"
@@ -423,20 +421,20 @@ def q_first_author(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_author(authors).alias("author"))
 
 
-@query(f"WITH {EN}, f AS (SELECT len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n FROM en ORDER BY doc_id LIMIT 100) SELECT round(avg(n), 6) AS avg_tokens FROM f")
+@query(f"WITH {EN}, f AS (SELECT len(regexp_extract_all(text, '{_SIGNS}')) AS n FROM en ORDER BY doc_id LIMIT 100) SELECT round(avg(n), 6) AS avg_tokens FROM f")
 def q_avg_tokens(spark, sf_dir):
-    first = english(spark, sf_dir).orderBy("doc_id").limit(100)
+    first = documents(spark, sf_dir).orderBy("doc_id").limit(100)
     return first.agg(F.round(F.avg(T.token_count(F.col("text"))), 6).alias("avg_tokens"))
 
 
 # --- topics -----------------------------------------------------------------------
 
 
-@query(f"""WITH {TOKENS}, g AS (SELECT doc_id, unnest(ws) AS term FROM tok UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM tok
-UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM tok)
+@query(f"""WITH {TOKENS}, g AS (SELECT doc_id, unnest(cs) AS term FROM tok UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(cs)), lambda i: cs[i] || ' ' || cs[i + 1])) FROM tok
+UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(cs) - 1), lambda i: cs[i] || ' ' || cs[i + 1] || ' ' || cs[i + 2])) FROM tok)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) <= 0.95::DOUBLE * (SELECT count(*) FROM tok) ORDER BY tf DESC, term LIMIT 1000""")
 def q_ngram_vocabulary(spark, sf_dir):
-    return topics.term_vocabulary(topic_docs(spark, sf_dir), max_features=1000)
+    return topics.term_vocabulary(topic_docs(spark, sf_dir), stop_words=T.stopwords(), max_features=1000)
 
 
 @query(f"WITH {KEYWORDS} SELECT topic_id, rank, word, score FROM kw")
@@ -525,7 +523,7 @@ def q_npmi_coherence(spark, sf_dir):
 
 @query()
 def q_c_v_coherence(spark, sf_dir):
-    return topics.c_v_coherence(topic_docs(spark, sf_dir, every), keywords(spark, sf_dir, docs=every).filter("not contains(word, ' ')"))
+    return topics.c_v_coherence(topic_docs(spark, sf_dir), keywords(spark, sf_dir).filter("not contains(word, ' ')"))
 
 
 @query()
@@ -546,12 +544,20 @@ def q_gaussian_mixture(spark, sf_dir):
 
 @query()
 def q_embed(spark, sf_dir):
-    return providers.hashing_embedder(topic_docs(spark, sf_dir, every)).select("doc_id", "embedding")
+    return providers.hashing_embedder(topic_docs(spark, sf_dir)).select("doc_id", "embedding")
+
+
+def _exact(x: str, digits: int) -> str:
+    """Rounding as ``text.round_half_even`` does it."""
+    big, scale = f"(({x}) * 134217729::DOUBLE)", f"{10**digits}::DOUBLE"
+    high, whole = f"({big} - ({big} - ({x})))", f"floor(({x}) * {scale})"
+    beyond = f"(({high} * {scale} - {whole} - 0.5::DOUBLE) + (({x}) - {high}) * {scale})"
+    return f"(({whole} + CASE WHEN {beyond} > 0 THEN 1 WHEN {beyond} < 0 THEN 0 ELSE {whole} % 2 END) / {scale})"
 
 
 # --- masking and pairs ---------------------------------------------------------------
 
-MATCHES = f"""{KEYWORDS}, pc AS (SELECT doc_id, topic_id, text, regexp_extract_all(text, '\\w+|[^\\w\\s]|\\s+') AS ps FROM tok),
+MATCHES = f"""{KEYWORDS}, pc AS (SELECT doc_id, topic_id, text, regexp_extract_all(text, '{_SIGNS}|\\s+') AS ps FROM tok),
 po AS (SELECT doc_id, topic_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM pc),
 pe AS (SELECT *, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS e FROM po),
 tk AS (SELECT doc_id, topic_id, lower(p) AS p, e - length(p) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM pe WHERE NOT regexp_matches(p, '^\\s')),
@@ -559,8 +565,8 @@ wn AS (SELECT doc_id, topic_id, p AS phrase, s, e FROM tk UNION ALL SELECT a.doc
 mt AS (SELECT DISTINCT wn.doc_id, wn.topic_id, s::INTEGER AS s, e::INTEGER AS e FROM wn JOIN kw ON kw.topic_id = wn.topic_id AND kw.word = wn.phrase)"""
 
 
-def matches(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
-    return masking.match_phrases(topic_docs(spark, sf_dir, docs), keywords(spark, sf_dir, docs=docs), id_col="doc_id", text_col="text", lengths=(1, 2))
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.match_phrases(topic_docs(spark, sf_dir), keywords(spark, sf_dir), id_col="doc_id", text_col="text", lengths=(1, 2))
 
 
 @query(f'WITH {MATCHES} SELECT mt.doc_id, mt.topic_id, s AS start, e AS "end", substr(tok.text, s + 1, e - s) AS text FROM mt JOIN tok ON tok.doc_id = mt.doc_id')
@@ -572,9 +578,9 @@ def q_phrase_match(spark, sf_dir):
 ONE_WORD = MATCHES.replace("kw.word = wn.phrase)", "kw.word = wn.phrase AND NOT contains(kw.word, ' '))")
 
 
-def masked(spark: SparkSession, sf_dir: str, variants: int = 6, docs: Query = english) -> DataFrame:
-    rows = topic_docs(spark, sf_dir, docs).select("doc_id", "topic_id", F.col("text").alias("paragraph_text"))
-    words = keywords(spark, sf_dir, docs=docs).filter("not contains(word, ' ')")
+def masked(spark: SparkSession, sf_dir: str, variants: int = 6) -> DataFrame:
+    rows = topic_docs(spark, sf_dir).select("doc_id", "topic_id", F.col("text").alias("paragraph_text"))
+    words = keywords(spark, sf_dir).filter("not contains(word, ' ')")
     found = masking.collect_spans(masking.match_phrases(rows, words, id_col="doc_id", lengths=(1,)), "doc_id")
     spans = found.select("doc_id", masking.choose_spans(F.col("spans")).alias("spans"))
     return masking.mask_variants(rows.join(spans, "doc_id", "left"), id_col="doc_id", variants=variants)
@@ -594,14 +600,14 @@ def q_mask_variants(spark, sf_dir):
     return masked(spark, sf_dir).select("doc_id", "variant_no", F.size("masked_tokens").alias("n_masks"), "masked_text", "variant_id")
 
 
-@query(f"WITH {VARIANTS} SELECT count(DISTINCT CASE WHEN n_masks > 0 THEN doc_id END) AS paragraphs_processed, count(*) AS variants, round(sum(n_masks) / count(*), 2) AS avg_masks FROM vm")
+@query(f"WITH {VARIANTS} SELECT count(DISTINCT CASE WHEN n_masks > 0 THEN doc_id END) AS paragraphs_processed, count(*) AS variants, {_exact('sum(n_masks)::DOUBLE / count(*)', 2)} AS avg_masks FROM vm")
 def q_masking_report(spark, sf_dir):
     return masking.masking_report(masked(spark, sf_dir), "doc_id")
 
 
 @query()
 def q_spans(spark, sf_dir):
-    found = masking.collect_spans(matches(spark, sf_dir, every), "doc_id")
+    found = masking.collect_spans(matches(spark, sf_dir), "doc_id")
     return found.select("doc_id", "topic_id", F.size("spans").alias("n"), F.size(masking.choose_spans(F.col("spans"))).alias("strict"), F.size(masking.choose_spans(F.col("spans"), compat=True)).alias("compat"))
 
 
@@ -612,17 +618,18 @@ def _split_sql(x: str) -> str:
 PAIRED = f"""{VARIANTS}, zz AS (SELECT doc_id, topic_id, variant_no, {_split_sql('text')} AS a, {_split_sql('masked_text')} AS b FROM vm),
 zi AS (SELECT doc_id, topic_id, variant_no, unnest(range(1, least(len(a), len(b)) + 1)) AS i, a, b FROM zz),
 zs AS (SELECT doc_id, topic_id, variant_no, i, {STRIP.format('a[i]')} AS original, {STRIP.format('b[i]')} AS masked FROM zi WHERE contains(b[i], '<mask>')),
-zt AS (SELECT *, len(regexp_extract_all(original, '\\w+|[^\\w\\s]')) AS length, regexp_extract_all(masked, '\\S+') AS mw FROM zs),
+zt AS (SELECT *, len(regexp_extract_all(original, '{_SIGNS}')) AS length, regexp_extract_all(masked, '\\S+') AS mw FROM zs),
 zr AS (SELECT *, len(list_filter(mw, lambda w: w = '<mask>')) / len(mw)::DOUBLE AS r FROM zt),
-pr AS (SELECT md5(original || chr(1) || masked) AS pair_id, topic_id, original, masked, round(r, 3) AS mask_ratio, length::INTEGER AS length, len(list_filter(mw, lambda w: w = '<mask>')) AS nm FROM zr
+pr AS (SELECT md5(original || chr(1) || masked) AS pair_id, topic_id, original, masked, {_exact('r', 3)} AS mask_ratio, length::INTEGER AS length, len(list_filter(mw, lambda w: w = '<mask>')) AS nm FROM zr
   WHERE length >= 4 AND r BETWEEN 0.05::DOUBLE AND 0.4::DOUBLE AND NOT regexp_matches(original, '(?i)^(CHAPTER|BOOK|PART|SECTION|THE END|END)\\b[\\s\\W\\d]*$')
     AND NOT (len(regexp_extract_all(original, '\\S+')) <= 6 AND upper(original) = original AND lower(original) <> original)
-    AND (topic_id NOT IN (SELECT topic_id FROM kw) OR EXISTS (SELECT 1 FROM kw WHERE kw.topic_id = zr.topic_id AND list_contains(regexp_extract_all(lower(original), '\\w+|[^\\w\\s]'), kw.word)))
+    AND len(list_intersect(regexp_extract_all(lower(original), '[\\p{{L}}\\p{{N}}]+'), {_VERBS})) > 0
+    AND (topic_id NOT IN (SELECT topic_id FROM kw) OR EXISTS (SELECT 1 FROM kw WHERE kw.topic_id = zr.topic_id AND list_contains(regexp_extract_all(lower(original), '{_SIGNS}'), kw.word)))
   QUALIFY row_number() OVER (PARTITION BY original, masked ORDER BY doc_id, variant_no, i) = 1)"""
 
 
-def masked_pairs(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
-    return pairs.sentence_pairs(masked(spark, sf_dir, docs=docs), keywords(spark, sf_dir, docs=docs), order=["doc_id", "variant_no"])
+def masked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.sentence_pairs(masked(spark, sf_dir), keywords(spark, sf_dir), order=["doc_id", "variant_no"])
 
 
 @query(f"WITH {PAIRED} SELECT pair_id, topic_id, original, masked, mask_ratio, length FROM pr")
@@ -630,7 +637,7 @@ def q_sentence_pairs(spark, sf_dir):
     return masked_pairs(spark, sf_dir)
 
 
-@query(f"WITH {PAIRED} SELECT count(*) AS total_pairs, round(sum(length) / count(*), 2) AS avg_len, round(sum(nm) / sum(length), 3) AS avg_mask_ratio, 0::BIGINT AS unique_pairs_removed FROM pr")
+@query(f"WITH {PAIRED} SELECT count(*) AS total_pairs, {_exact('sum(length)::DOUBLE / count(*)', 2)} AS avg_len, {_exact('sum(nm)::DOUBLE / sum(length)', 3)} AS avg_mask_ratio, 0::BIGINT AS unique_pairs_removed FROM pr")
 def q_pair_stats(spark, sf_dir):
     return pairs.pair_stats(masked_pairs(spark, sf_dir))
 
@@ -639,32 +646,36 @@ def q_pair_stats(spark, sf_dir):
 
 BIGRAMS = f"""{SENTENCES}, bt AS (SELECT list_concat(['<s>'], regexp_extract_all(lower(sentence), '\\S+')) AS t FROM sent WHERE regexp_matches(sentence, '\\S')),
 bg AS (SELECT t[i] AS prev, t[i + 1] AS token FROM (SELECT t, unnest(range(1, len(t))) AS i FROM bt)), bc AS (SELECT prev, token, count(*) AS c FROM bg GROUP BY ALL),
-cand AS (SELECT prev, token, c / (sum(c) OVER (PARTITION BY prev))::DOUBLE AS p, row_number() OVER (PARTITION BY prev ORDER BY c DESC, token) AS r FROM bc),
-lm AS (SELECT prev, token, p, row_number() OVER (PARTITION BY prev ORDER BY p DESC, token) AS r FROM cand WHERE r <= 20)"""
+lm AS (SELECT prev, token, c::DOUBLE AS c, c / (sum(c) OVER (PARTITION BY prev))::DOUBLE AS p, row_number() OVER (PARTITION BY prev ORDER BY c DESC, token) AS r FROM bc)"""
 DRAW = "('0x' || substr(md5('7|' || prev), 1, 8))::BIGINT / 4294967296::DOUBLE"
 
 
-def _model(spark: SparkSession, sf_dir: str, docs: Query = english) -> DataFrame:
-    rows = sentences(spark, sf_dir, docs).filter(F.col("sentence").rlike(r"\S"))
-    return infill.bigram_model(rows, top=20)
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(spark, sf_dir).filter(F.col("sentence").rlike(r"\S"))
 
 
-def _draws(spark: SparkSession, sf_dir: str, strategy: str, docs: Query = english, **params) -> DataFrame:
+def _draws(spark: SparkSession, sf_dir: str, strategy: str, **params) -> DataFrame:
+    left = infill.distribution(infill.bigram_model(_texts(spark, sf_dir)), strategy, **params)
     u = T.hash_unit(F.lit("7"), F.col("prev"))
-    return _model(spark, sf_dir, docs).withColumn("c", infill.choose(F.col("cands"), strategy, u, **params)).select("prev", F.col("c.token").alias("token"), F.round("c.p", 6).alias("p"))
+    return left.filter((F.col("lo") <= u) & (u < F.col("hi"))).select("prev", "token", F.round("p", 6).alias("p"))
+
+
+def _cut_sql(weight: str = "c", best: str = "true", nucleus: str = "true", model: str = "lm") -> str:
+    """What is left of each word's candidates, with the running sums of their shares."""
+    before = "coalesce(sum(w) OVER (PARTITION BY prev ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"""w AS (SELECT prev, token, r, {weight} AS w FROM {model} WHERE {best}), ru AS (SELECT *, {before} / sum(w) OVER (PARTITION BY prev) AS cum FROM w), kp AS (SELECT * FROM ru WHERE {nucleus}),
+fc AS (SELECT *, w / sum(w) OVER (PARTITION BY prev) AS f, ({before} + w) / sum(w) OVER (PARTITION BY prev) AS fcum, max(r) OVER (PARTITION BY prev) AS last FROM kp)"""
 
 
-def _drawn_sql(weight: str, keep: str = "true") -> str:
-    """Renormalise ``weight`` over the kept candidates and take the first whose running sum passes the draw."""
-    return f"""WITH {BIGRAMS}, w AS (SELECT prev, token, r, {weight} AS w FROM lm), nn AS (SELECT *, w / sum(w) OVER (PARTITION BY prev) AS q FROM w),
-ru AS (SELECT *, sum(q) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS cw FROM nn), kp AS (SELECT * FROM ru WHERE {keep}),
-fi AS (SELECT *, q / sum(q) OVER (PARTITION BY prev) AS f FROM kp), fc AS (SELECT *, sum(f) OVER (PARTITION BY prev ORDER BY r ROWS UNBOUNDED PRECEDING) AS fcum, max(r) OVER (PARTITION BY prev) AS last FROM fi)
+def _drawn_sql(*cuts: str) -> str:
+    """The first candidate whose running sum passes the draw."""
+    return f"""WITH {BIGRAMS}, {_cut_sql(*cuts)}
 SELECT prev, token, round(f, 6) AS p FROM fc WHERE fcum > {DRAW} OR r = last QUALIFY row_number() OVER (PARTITION BY prev ORDER BY r) = 1"""
 
 
 @query(f"WITH {BIGRAMS} SELECT prev, r::INTEGER AS rank, token, round(p, 6) AS p FROM lm")
 def q_bigram_model(spark, sf_dir):
-    return _model(spark, sf_dir).select("prev", F.posexplode("cands").alias("i", "c")).select("prev", (F.col("i") + 1).alias("rank"), "c.token", F.round("c.p", 6).alias("p"))
+    return infill.distribution(infill.bigram_model(_texts(spark, sf_dir)), "temperature").select("prev", "rank", "token", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {BIGRAMS} SELECT prev, token, round(p, 6) AS p FROM lm WHERE r = 1")
@@ -672,45 +683,64 @@ def q_fill_greedy(spark, sf_dir):
     return _draws(spark, sf_dir, "greedy")
 
 
-@query(_drawn_sql("p", "r <= 5"))
+@query(_drawn_sql("c", "r <= 5"))
 def q_fill_top_k(spark, sf_dir):
     return _draws(spark, sf_dir, "top_k", top_k=5)
 
 
-@query(_drawn_sql("p", "cw - w < 0.7::DOUBLE - 1e-12::DOUBLE"))
+@query(_drawn_sql("c", "true", "cum < 0.7::DOUBLE - 1e-12::DOUBLE"))
 def q_fill_top_p(spark, sf_dir):
     return _draws(spark, sf_dir, "top_p", top_p=0.7)
 
 
-@query()
+@query(_drawn_sql("pow(c, 1.25::DOUBLE)", "r <= 8", "cum < 0.7::DOUBLE - 1e-12::DOUBLE"))
 def q_fill_top_k_top_p(spark, sf_dir):
-    return _draws(spark, sf_dir, "top_k_top_p", every, top_k=8, top_p=0.7, temperature=0.8)
+    return _draws(spark, sf_dir, "top_k_top_p", top_k=8, top_p=0.7, temperature=0.8)
 
 
-@query(_drawn_sql("pow(p, 2)"))
+@query(_drawn_sql("pow(c, 2)"))
 def q_fill_temperature(spark, sf_dir):
     return _draws(spark, sf_dir, "temperature", temperature=0.5)
 
 
-@query()
+_JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))::DOUBLE ELSE 0 END"
+_DOT = "list_sum(list_transform(list_distinct({0}), lambda w: len(list_filter({0}, lambda v: v = w)) * len(list_filter({1}, lambda v: v = w))))"
+_COSINE = f"CASE WHEN len({{0}}) > 0 AND len({{1}}) > 0 THEN {_DOT} / (sqrt({_DOT.replace('{1}', '{0}')}::DOUBLE) * sqrt({_DOT.replace('{0}', '{1}')}::DOUBLE)) ELSE 0 END"
+
+
+def _scores(a: Column, b: Column) -> dict[str, Column]:
+    """Semantic, lexical and structural similarity, and what they make together."""
+    parts = {"sim_score": infill.text_cosine(a, b), "jaccard": infill.token_jaccard(a, b), "len_ratio": infill.length_ratio(a, b)}
+    return parts | {"hybrid_score": infill.hybrid_score(*parts.values())}
+
+
+# (The pairs, then each mask's draw from its word's five best, or from those of all words where the one before is unknown.)
+INFILL = f"""{PAIRED}, {BIGRAMS.removeprefix(EN + ', ')}, uni AS (SELECT token, count(*) AS c FROM (SELECT unnest(t[2:]) AS token FROM bt) GROUP BY 1),
+both_ AS (SELECT prev, token, c, r FROM lm UNION ALL SELECT chr(1), token, c::DOUBLE, row_number() OVER (ORDER BY c DESC, token) FROM uni), {_cut_sql("c", "r <= 5", "true", "both_")},
+tl AS (SELECT pair_id, list_concat(['<s>'], regexp_extract_all(masked, '\\S+')) AS t FROM pr), tt AS (SELECT pair_id, unnest(range(len(t))) AS i, unnest(t) AS token FROM tl),
+ho AS (SELECT pair_id, i, lower(t[i]) AS prev, ('0x' || substr(md5('42|' || pair_id || '|' || i), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM (SELECT pair_id, t, unnest(range(1, len(t))) AS i FROM tl) WHERE t[i + 1] = '<mask>'),
+hk AS (SELECT pair_id, i, u, CASE WHEN prev IN (SELECT prev FROM lm) THEN prev ELSE chr(1) END AS prev FROM ho),
+hc AS (SELECT pair_id, i, token, f FROM hk JOIN fc USING (prev) WHERE fcum > u OR r = last QUALIFY row_number() OVER (PARTITION BY pair_id, i ORDER BY r) = 1),
+fl AS (SELECT pair_id, string_agg(coalesce(hc.token, tt.token), ' ' ORDER BY i) AS infilled, round(avg(ln(f)), 6) AS infill_score FROM tt LEFT JOIN hc USING (pair_id, i) WHERE i > 0 GROUP BY 1),
+fs AS (SELECT pair_id, infilled, infill_score, regexp_extract_all(lower(original), '\\S+') AS a, regexp_extract_all(lower(infilled), '\\S+') AS b FROM fl JOIN pr USING (pair_id)),
+sc2 AS (SELECT pair_id, infilled, infill_score, {_COSINE.format('a', 'b')} AS sim, {_JACCARD.format('a', 'b')} AS jac, least(len(a), len(b)) / greatest(len(a), len(b))::DOUBLE AS rat FROM fs)"""
+
+
+@query(f"WITH {INFILL} SELECT pair_id, infilled, infill_score, round(sim, 6) AS sim_score, round(0.5::DOUBLE * sim + 0.3::DOUBLE * jac + 0.2::DOUBLE * rat, 6) AS hybrid_score, 'top_k' AS sampling_strategy FROM sc2")
 def q_infill(spark, sf_dir):
-    rows = masked_pairs(spark, sf_dir, every)
-    text = sentences(spark, sf_dir, every).filter(F.col("sentence").rlike(r"\S"))
-    out = infill.fill_masks(rows, infill.bigram_model(text, top=20), infill.unigram_model(text, top=20), strategy="top_k", top_k=5)
-    a, b = F.col("original"), F.col("infilled")
-    return out.withColumn("hybrid_score", F.round(infill.hybrid_score(infill.token_jaccard(a, b), infill.token_jaccard(a, b), infill.length_ratio(a, b)), 6)).select("pair_id", "infilled", "infill_score", "hybrid_score", "sampling_strategy")
+    text = _texts(spark, sf_dir)
+    out = infill.fill_masks(masked_pairs(spark, sf_dir), infill.bigram_model(text), infill.unigram_model(text), strategy="top_k", top_k=5)
+    parts = _scores(F.col("original"), F.col("infilled"))
+    return out.select("pair_id", "infilled", "infill_score", *[F.round(parts[n], 6).alias(n) for n in ("sim_score", "hybrid_score")], "sampling_strategy")
 
 
-@query(f"""WITH {SENTENCES}, x AS (SELECT a.sentence_id, list_distinct(regexp_extract_all(lower(a.sentence), '\\S+')) AS s, list_distinct(regexp_extract_all(lower(b.sentence), '\\S+')) AS t, len(regexp_extract_all(a.sentence, '\\S+')) AS n, len(regexp_extract_all(b.sentence, '\\S+')) AS m
-FROM sent a JOIN sent b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
-y AS (SELECT sentence_id, CASE WHEN len(list_distinct(list_concat(s, t))) > 0 THEN len(list_intersect(s, t)) / len(list_distinct(list_concat(s, t)))::DOUBLE ELSE 0 END AS jac, CASE WHEN greatest(n, m) > 0 THEN least(n, m) / greatest(n, m)::DOUBLE ELSE 0 END AS len_ratio FROM x)
-SELECT sentence_id, round(jac, 6) AS jac, round(len_ratio, 6) AS len_ratio, round(0.5::DOUBLE * jac + 0.3::DOUBLE * jac + 0.2::DOUBLE * len_ratio, 6) AS hybrid FROM y""")
+@query(f"""WITH {SENTENCES}, x AS (SELECT a.sentence_id, regexp_extract_all(lower(a.sentence), '\\S+') AS s, regexp_extract_all(lower(b.sentence), '\\S+') AS t FROM sent a JOIN sent b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
+y AS (SELECT sentence_id, {_COSINE.format('s', 't')} AS sim, {_JACCARD.format('s', 't')} AS jac, CASE WHEN greatest(len(s), len(t)) > 0 THEN least(len(s), len(t)) / greatest(len(s), len(t))::DOUBLE ELSE 0 END AS rat FROM x)
+SELECT sentence_id, round(sim, 6) AS sim_score, round(jac, 6) AS jaccard, round(rat, 6) AS len_ratio, round(0.5::DOUBLE * sim + 0.3::DOUBLE * jac + 0.2::DOUBLE * rat, 6) AS hybrid_score FROM y""")
 def q_hybrid_score(spark, sf_dir):
     s = sentences(spark, sf_dir)
     x = s.alias("a").join(s.alias("b"), F.expr("b.doc_id = a.doc_id and b.pos = a.pos + 1")).select("a.sentence_id", F.col("a.sentence").alias("s"), F.col("b.sentence").alias("t"))
-    j, r = infill.token_jaccard(F.col("s"), F.col("t")), infill.length_ratio(F.col("s"), F.col("t"))
-    y = x.select("sentence_id", j.alias("jac"), r.alias("len_ratio"))
-    return y.select("sentence_id", F.round("jac", 6).alias("jac"), F.round("len_ratio", 6).alias("len_ratio"), F.round(infill.hybrid_score(F.col("jac"), F.col("jac"), F.col("len_ratio")), 6).alias("hybrid"))
+    return x.select("sentence_id", *[F.round(c, 6).alias(n) for n, c in _scores(F.col("s"), F.col("t")).items()])
 
 
 # --- probing -----------------------------------------------------------------------

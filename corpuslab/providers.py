@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 
-#: A few common English verbs: the default test for a verb.
+#: A few common verbs of four languages, without forms that mean something else in another: the default test for a verb.
 VERBS = (
     "is are was were be been has have had do does did go goes went gone come came see saw seen say said make made take took give gave know knew think thought "
-    "get got find found tell told ask asked seem seemed feel felt leave left call called run ran stand stood hold held turn turned look looked move moved"
+    "get got find found tell told ask asked seem seemed feel felt leave left call called run ran stand stood hold held turn turned look looked move moved "
+    "ist sind waren haben hatte wird werden wurde kann konnte est sont était étaient avait avaient ont fait peut está están era eran fue tiene tienen puede"
 ).split()
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "corpuslab", master: str | None = None, **settings: str) -> SparkSession:
@@ -11,3 +13,19 @@ def get_session(app: str = "corpuslab", master: str | None = None, **settings: s
     for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint.
+
+    ``spark.checkpoint.dir`` names the folder; only where that is unset is one
+    chosen: a temporary one in local mode, else one beside the warehouse.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+            folder = tempfile.mkdtemp(prefix="corpuslab-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -60,8 +60,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_stopwords(spark: SparkSession, path: str) -> list[str]:
-    """One word a line, trimmed and in small letters, without blanks (100,000 at most)."""
-    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w <> ''").distinct().limit(100_000)
+    """One word a line, trimmed and in small letters, without blanks; all of them, as a list that plans hold."""
+    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w <> ''").distinct()
     return sorted(r["w"] for r in lines.collect())
 
 
@@ -76,13 +76,16 @@ def read_model(path: str):
     return PipelineModel.load(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, most: int = 1 << 30) -> DataFrame:
     """Deal the rows of a small input, such as a single file, to all cores.
 
-    A scan of at least as many partitions as there are cores stays as it is, so
-    large tables are never shuffled for this.
+    An input of more than ``most`` bytes, by the plan's own statistics, or of at
+    least as many partitions as there are cores stays as it is, so large tables
+    are never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+        return df
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 

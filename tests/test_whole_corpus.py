@@ -1,4 +1,4 @@
-"""Queries that no SQL holds to English documents see all of them."""
+"""Queries see the documents of all languages."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ def few(spark, tmp_path_factory):
 
 
 def test_topic_docs(spark, few):
-    rows = {r["doc_id"]: r for r in catalog.topic_docs(spark, few, catalog.every).collect()}
+    rows = {r["doc_id"]: r for r in catalog.topic_docs(spark, few).collect()}
     assert {i: r["topic_id"] for i, r in rows.items()} == {1: 3, 2: 4, 3: 5, 4: -1}
     assert rows[2]["tokens"] == "die äpfel und die äpfel sind grün".split() and rows[3]["tokens"] == "a naïve café a naïve view".split()
 
@@ -42,7 +42,7 @@ def test_draws(spark, few):
 
 
 def test_infill(spark, few):
-    pairs = catalog.masked_pairs(spark, few, catalog.every)
+    pairs = catalog.masked_pairs(spark, few)
     other = [r["original"] for r in pairs.filter(F.col("topic_id") == 4).collect()]
     assert any("pfel" in t for t in other)
     assert {r["pair_id"] for r in catalog.q_infill(spark, few).collect()} == {r["pair_id"] for r in pairs.collect()}
