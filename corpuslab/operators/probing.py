@@ -77,3 +77,17 @@ def balanced(items: DataFrame, total: int = 1000, *, id_col: str = "sentence_id"
     labels = items.select("label").distinct().agg(F.count("*").alias("_k"))
     ranked = items.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(splits.md5_order(seed, id_col), id_col)))
     return ranked.filter(F.col("_n") <= total).join(F.broadcast(labels)).filter(F.col("_n") <= F.floor(F.lit(total) / F.col("_k"))).drop("_n", "_k")
+
+
+#: The five tasks, each from ``(id_col, sentence)`` to ``(id_col, item, label)``.
+TASKS = {"bigram_shift": bigram_shift, "word_contents": word_contents, "odd_word": odd_word_out, "coordinate_inversion": coordinate_inversion, "clause_depth": clause_depth}
+
+
+def balanced_sets(sentences: DataFrame, total: int = 1000, *, id_col: str = "sentence_id", seed: int = 42) -> DataFrame:
+    """``task, id, item, label``: of each task an equal number of items of each label, ``total`` at most."""
+    out = None
+    for name, task in TASKS.items():
+        items = task(sentences, id_col=id_col).withColumn("label", F.col("label").cast("string"))
+        rows = balanced(items, total, id_col=id_col, seed=seed).select(F.lit(name).alias("task"), id_col, "item", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out

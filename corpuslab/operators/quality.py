@@ -27,13 +27,14 @@ def rule_columns(th_lp: float = -3.0, th_hyb: float = 0.3, min_len: int = 4, max
     }
 
 
-def filter_pairs(df: DataFrame, *, tiebreak: Sequence[str] = (), **thresholds: float) -> DataFrame:
-    """The rows that pass all rules; of each pair id the one with the highest hybrid score."""
+def filter_pairs(df: DataFrame, *, tiebreak: Sequence[str] = (), ordered: bool = True, **thresholds: float) -> DataFrame:
+    """The rows that pass all rules, the highest hybrid scores first; of each pair id the one with the highest."""
     kept = df
     for rule in rule_columns(**thresholds).values():
         kept = kept.filter(rule)
     w = Window.partitionBy("pair_id").orderBy(F.desc("hybrid_score"), *tiebreak)
-    return kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    best = kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return best.orderBy(F.desc("hybrid_score"), "pair_id") if ordered else best
 
 
 def attrition(df: DataFrame, **thresholds: float) -> DataFrame:
@@ -131,3 +132,16 @@ ANNOTATION_GUIDE = """# Annotation guide
 Score each pair from 1 (unrelated) to 5 (same meaning) in `expert_score`; say why in `expert_comments`.
 Fill in `annotation_date` and `annotator_id`.  Leave `sample_id` and the texts as they are.
 """
+
+
+def statistics_text(values: dict[str, object]) -> str:
+    """A statistics file: one aligned line for each value."""
+    width = max((len(k) for k in values), default=0)
+    return "\n".join(f"{k.ljust(width)}  {v}" for k, v in values.items())
+
+
+def model_card(parameters: dict[str, object], metrics: dict[str, object], input_size: int) -> str:
+    """A JSON card of what a topic model was fitted on, with what settings, and how it turned out."""
+    import json
+
+    return json.dumps({"input_size": input_size, "parameters": parameters, "metrics": metrics}, indent=2, default=str)

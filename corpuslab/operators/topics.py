@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.operators.graph import components
+from corpuslab.operators.splits import global_rank
+from corpuslab.session import checkpoint
 
 NOISE = -1
 
@@ -196,38 +199,184 @@ def centroid_vectors(embeddings: DataFrame, topic: str, vector: str) -> DataFram
     return parts.groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("vector"))
 
 
-def reduce_dimensions(embeddings: DataFrame, vector: str, n_components: int) -> DataFrame:
-    """Principal components as ``reduced``, an array of doubles."""
+def _with_vectors(df: DataFrame, vector: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+
+
+def fit_reduction(embeddings: DataFrame, vector: str, n_components: int):
+    """A saveable ``PipelineModel`` of the principal components."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = embeddings.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    return PCA(k=n_components, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn("reduced", vector_to_array("_p")).drop("_v", "_p")
+    return Pipeline(stages=[PCA(k=n_components, inputCol="_v", outputCol="_p")]).fit(_with_vectors(embeddings, vector))
 
 
-def cluster(embeddings: DataFrame, vector: str, *, clusterer: str = "kmeans", k: int | None = None, seed: int = 42, noise_quantile: float = 0.0) -> DataFrame:
-    """Add ``topic_id`` and ``probability``.
+def reduce_dimensions(embeddings: DataFrame, vector: str, n_components: int, model=None) -> DataFrame:
+    """Principal components as ``reduced``, an array of doubles."""
+    from pyspark.ml.functions import vector_to_array
 
-    ``kmeans`` and ``gmm`` need k (20 by default).  ``density`` is k-means with
-    the farthest ``noise_quantile`` (0.1 by default) of the rows as noise.
-    """
+    model = model or fit_reduction(embeddings, vector, n_components)
+    return model.transform(_with_vectors(embeddings, vector)).withColumn("reduced", vector_to_array("_p")).drop("_v", "_p")
+
+
+def fit_clusters(embeddings: DataFrame, vector: str, *, clusterer: str = "kmeans", k: int | None = None, seed: int = 42):
+    """A saveable ``PipelineModel``: k-means or a Gaussian mixture of ``k`` (20) topics."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.clustering import GaussianMixture, KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    if clusterer not in ("kmeans", "gmm", "density"):
+    if clusterer not in ("kmeans", "gmm"):
         raise ValueError(f"unknown clusterer: {clusterer}")
-    rows = embeddings.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    if clusterer == "gmm":
-        out = GaussianMixture(k=k or 20, seed=seed, featuresCol="_v", predictionCol="topic_id", probabilityCol="_p").fit(rows).transform(rows)
-        return out.withColumn("probability", document_probability(vector_to_array("_p"))).drop("_v", "_p")
-    model = KMeans(k=k or 20, seed=seed, featuresCol="_v", predictionCol="topic_id").fit(rows)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    out = model.transform(rows).withColumn("_d", F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.element_at(centres, F.col("topic_id") + 1), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
-    share = noise_quantile or (0.1 if clusterer == "density" else 0.0)
-    if share:
-        edge = out.approxQuantile("_d", [1 - share], 0.001)[0]
-        out = out.withColumn("topic_id", F.when(F.col("_d") > edge, NOISE).otherwise(F.col("topic_id")))
-    return out.withColumn("probability", 1 / (1 + F.col("_d"))).drop("_v", "_d")
+    kind = KMeans if clusterer == "kmeans" else GaussianMixture
+    return Pipeline(stages=[kind(k=k or 20, seed=seed, featuresCol="_v", predictionCol="topic_id")]).fit(_with_vectors(embeddings, vector))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """The Euclidean distance of two arrays."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+
+
+def apply_clusters(model, embeddings: DataFrame, vector: str) -> DataFrame:
+    """Add ``topic_id`` and ``probability``."""
+    from pyspark.ml.functions import vector_to_array
+
+    last, out = model.stages[-1], model.transform(_with_vectors(embeddings, vector))
+    if hasattr(last, "clusterCenters"):
+        centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in last.clusterCenters()])
+        return out.withColumn("probability", 1 / (1 + distance(F.col(vector), F.element_at(centres, F.col("topic_id") + 1)))).drop("_v")
+    return out.withColumn("probability", document_probability(vector_to_array("probability"))).drop("_v")
+
+
+def cluster(embeddings: DataFrame, vector: str, *, clusterer: str = "kmeans", k: int | None = None, seed: int = 42, min_cluster_size: int = 50, min_samples: int = 10) -> DataFrame:
+    """Add ``topic_id`` and ``probability``.
+
+    ``kmeans`` and ``gmm`` need k (20 by default); ``density`` finds the number
+    of topics itself, see ``density_clusters``.
+    """
+    if clusterer == "density":
+        return density_clusters(embeddings, vector, min_cluster_size=min_cluster_size, min_samples=min_samples, seed=seed)
+    return apply_clusters(fit_clusters(embeddings, vector, clusterer=clusterer, k=k, seed=seed), embeddings, vector)
+
+
+def lloyd_step(points: DataFrame, centres: DataFrame, vector: str, topic: str = "topic_id") -> tuple[DataFrame, DataFrame]:
+    """The points with their nearest centre as ``topic`` (ties: the least), and the centres' next places; ``centres`` is a few rows of ``topic, vector``."""
+    known = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(topic).alias("t"), F.col(vector).cast("array<double>").alias("c")))).alias("_all"))
+    near = points.drop(topic).crossJoin(F.broadcast(known)).withColumn("_best", F.array_min(F.transform("_all", lambda x: F.struct(distance(F.col(vector), x["c"]).alias("d"), x["t"].alias("t")))))
+    own = near.withColumn(topic, F.col("_best.t")).drop("_all", "_best")
+    return own, centroid_vectors(own, topic, vector)
+
+
+#: Rows by whose neighbours the reach of a density clustering is fitted, and what part of them lies in it.
+REACH_SAMPLE, REACH_SHARE = 1000, 0.8
+
+
+def density_clusters(embeddings: DataFrame, vector: str, *, min_cluster_size: int = 50, min_samples: int = 10, reach: float | None = None, seed: int = 42) -> DataFrame:
+    """Add ``topic_id`` and ``probability``: clusters of dense points, numbered by size, noise -1.
+
+    Points with ``min_samples`` or more within ``reach`` (themselves included)
+    are dense; dense points within it of one another are one cluster, and other points
+    belong to the densest one in their reach.  Clusters of fewer than
+    ``min_cluster_size`` points are noise.  Without ``reach`` it is fitted so that
+    ``REACH_SHARE`` of a bounded sample of points are dense.  Neighbours are
+    found among equal locality-sensitive hashes, so no two sides are crossed.
+    A row's probability is its part of the largest neighbourhood in its cluster; noise has 0.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+    rows = checkpoint(embeddings.select(F.struct(*[F.col(f"`{c}`") for c in embeddings.columns if c not in ("topic_id", "probability")]).alias("_row"), F.col(vector).cast("array<double>").alias("_x"), F.monotonically_increasing_id().alias("_n")))
+    points = _with_vectors(rows.select("_n", "_x"), "_x")
+    if reach is None:
+        reach = _fit_reach(rows, min_samples, seed)
+    if not reach:
+        return rows.select("_row.*", F.lit(NOISE).alias("topic_id"), F.lit(0.0).alias("probability"))
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=4 * reach, numHashTables=6, seed=seed).fit(points)
+    near = lsh.approxSimilarityJoin(points, points, reach * (1 + 1e-12), "d").select(F.col("datasetA._n").alias("u"), F.col("datasetB._n").alias("v"))
+    near = checkpoint(near.filter("u <> v"))
+    degree = checkpoint(near.groupBy("u").agg((F.count("*") + 1).alias("k")))
+    dense = degree.filter(F.col("k") >= min_samples)
+    links = near.join(dense.select("u"), "u").join(dense.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v")
+    roots = components(links.select("u", "v"))
+    lone = dense.join(roots, dense["u"] == roots["node"], "left_anti").select(F.col("u").alias("node"), F.col("u").alias("root"))
+    core = checkpoint(roots.unionByName(lone))
+    edge = near.join(dense.select("u"), "u", "left_anti").join(dense.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").join(core.withColumnRenamed("node", "v"), "v")
+    edge = edge.groupBy("u").agg(F.max(F.struct("kv", (-F.col("root")).alias("r"))).alias("x")).select(F.col("u").alias("node"), (-F.col("x.r")).alias("root"))
+    member = core.unionByName(edge).join(degree.withColumnRenamed("u", "node"), "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.max("k").alias("most")).filter(F.col("n") >= min_cluster_size)
+    numbered = global_rank(sizes.withColumn("_s", -F.col("n")), ["_s"], ["root"], "topic_id").select("root", "most", (F.col("topic_id") - 1).cast("int").alias("topic_id"))
+    named = member.join(numbered, "root").select(F.col("node").alias("_n"), "topic_id", (F.col("k") / F.col("most")).alias("probability"))
+    return rows.join(named, "_n", "left").select("_row.*", F.coalesce("topic_id", F.lit(NOISE)).alias("topic_id"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+
+
+def _fit_reach(rows: DataFrame, min_samples: int, seed: int) -> float:
+    """The distance within which ``REACH_SHARE`` of the sampled points have ``min_samples`` points, measured against all rows."""
+    import numpy as np
+    import pandas as pd
+
+    some = np.array([r["_x"] for r in rows.orderBy(F.xxhash64(F.lit(seed), "_x"), "_n").limit(REACH_SAMPLE).collect()], float)
+    if not len(some):
+        return 0.0
+    shared = rows.sparkSession.sparkContext.broadcast(some)
+
+    def nearest(parts):
+        best = None
+        for part in parts:
+            x = np.stack(part["_x"].to_numpy()).astype(float)
+            d = np.sqrt(np.maximum((shared.value**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * shared.value @ x.T, 0))
+            best = d if best is None else np.hstack([best, d])
+            best = np.partition(best, min(min_samples, best.shape[1]) - 1, axis=1)[:, :min_samples]
+        if best is not None:
+            yield pd.DataFrame({"i": np.repeat(np.arange(len(best)), best.shape[1]), "d": best.ravel()})
+
+    each = rows.select("_x").mapInPandas(nearest, "i int, d double")
+    kth = each.groupBy("i").agg(F.get(F.slice(F.array_sort(F.collect_list("d")), min_samples, 1), F.lit(0)).alias("d")).filter("d is not null")
+    return float(kth.agg(F.percentile("d", REACH_SHARE)).first()[0] or 0.0)
+
+
+def merge_topics(assignments: DataFrame, term_scores: DataFrame, nr_topics: int, topic: str = "topic_id", word: str = "word") -> DataFrame:
+    """``topic, merged``: the smallest topic joins the one of the most similar words, until ``nr_topics`` are left; noise stays.
+
+    Similarity is the cosine of the topics' c-TF-IDF vectors.  The driver holds
+    a number for each pair of topics, not of documents.
+    """
+    known = term_scores.filter(F.col(topic) != NOISE).select(topic, word, "score")
+    both = known.alias("a").join(known.alias("b"), F.col(f"a.{word}") == F.col(f"b.{word}")).groupBy(F.col(f"a.{topic}").alias("a"), F.col(f"b.{topic}").alias("b")).agg(F.sum(F.col("a.score") * F.col("b.score")).alias("s"))
+    dots = {(r["a"], r["b"]): r["s"] for r in both.collect()}
+    sizes = {r[topic]: r["n"] for r in topic_sizes(assignments.filter(F.col(topic) != NOISE), topic).collect()}
+    groups = {t: [t] for t in sizes}
+    while len(groups) > max(1, nr_topics):
+        small = min(groups, key=lambda t: (sizes[t], t))
+        cosine_to = lambda t: dots.get((small, t), 0.0) / max(1e-300, (dots.get((small, small), 0.0) * dots.get((t, t), 0.0)) ** 0.5)  # noqa: B023, E731
+        into = max((t for t in groups if t != small), key=lambda t: (cosine_to(t), -t))
+        for t in list(groups):
+            for x, y in ((into, t), (t, into)):
+                if t != small:
+                    dots[x, y] = dots.get((x, y), 0.0) + dots.get((small, t), 0.0)
+        dots[into, into] = dots.get((into, into), 0.0) + dots.get((small, small), 0.0)
+        groups[into] += groups.pop(small)
+        sizes[into] += sizes.pop(small)
+    rows = [(t, into) for into, members in groups.items() for t in members]
+    return assignments.sparkSession.createDataFrame(rows, f"{topic} int, merged int")
+
+
+def word_vectors(docs: DataFrame, words: DataFrame, *, tokens: str = "tokens", vector: str = "embedding", word: str = "word") -> DataFrame:
+    """``word, vector``: the mean vector of the documents that hold a word or pair of words."""
+    wanted = words.select(word).distinct()
+    grams = T.let(F.col(tokens), lambda t: F.array_distinct(F.concat(t, ngrams(t, 2))))
+    hits = docs.filter(F.col(vector).isNotNull()).select(F.explode(grams).alias(word), F.col(vector).alias("_x")).join(wanted, word)
+    return centroid_vectors(hits, word, "_x")
+
+
+def vis_points(embeddings: DataFrame, vector: str, topic: str = "topic_id", probability: str = "probability") -> DataFrame:
+    """``x, y, topic, probability``: two principal components for a plot."""
+    flat = reduce_dimensions(embeddings, vector, 2)
+    return flat.select(F.get("reduced", F.lit(0)).alias("x"), F.get("reduced", F.lit(1)).alias("y"), F.col(topic).alias("topic"), F.col(probability).cast("double").alias("probability"))
+
+
+def topic_members(assignments: DataFrame, chosen: DataFrame, member: bool = True, topic: str = "topic_id") -> DataFrame:
+    """The rows whose topic is (or isn't) among the few chosen ones; a null topic is in none."""
+    ids = F.broadcast(chosen.select(F.col(topic).alias("_chosen")).distinct())
+    return assignments.join(ids, F.col(topic) == F.col("_chosen"), "left_semi" if member else "left_anti")
 
 
 def metrics_row(assignments: DataFrame, keywords: DataFrame, coherence: DataFrame, **settings) -> DataFrame:

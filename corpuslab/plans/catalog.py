@@ -486,10 +486,14 @@ def q_topic_info(spark, sf_dir):
     return topics.topic_info(topic_docs(spark, sf_dir), keywords(spark, sf_dir))
 
 
-@query(f"WITH {ASSIGN} SELECT topic_id AS topic, round(avg(embedding[1]::DOUBLE), 6) AS cx, round(avg(embedding[2]::DOUBLE), 6) AS cy, count(*) AS n FROM asg WHERE topic_id <> -1 GROUP BY 1")
+@query(f"""WITH {ASSIGN}, p AS (SELECT topic_id AS topic, unnest(range(32))::INTEGER AS pair, embedding FROM asg WHERE topic_id <> -1)
+SELECT topic, pair, round(avg(embedding[2 * pair + 1]::DOUBLE), 6) AS cx, round(avg(embedding[2 * pair + 2]::DOUBLE), 6) AS cy, count(*) AS n FROM p GROUP BY 1, 2""")
 def q_centroids(spark, sf_dir):
-    a = assignments(spark, sf_dir)
-    return topics.centroids(a.select(F.col("topic_id").alias("topic"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")))
+    """The centroids of the points that any two neighbouring components make."""
+    points = assignments(spark, sf_dir).select("topic_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.get("embedding", 2 * i).cast("double").alias("x"), F.get("embedding", 2 * i + 1).cast("double").alias("y")))).alias("pair", "p"))
+    named = points.filter("topic_id <> -1").select(F.struct("topic_id", "pair").alias("topic"), "p.x", "p.y")
+    parts = named.groupBy("topic").agg(F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"), F.count("*").alias("n"))
+    return parts.select(F.col("topic.topic_id").alias("topic"), F.col("topic.pair").alias("pair"), "cx", "cy", "n")
 
 
 @query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS topic_id, round(list_max(embedding)::DOUBLE, 6) AS probability FROM embeddings")
@@ -504,12 +508,16 @@ def q_cosine(spark, sf_dir):
     return e.alias("a").join(e.alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select("a.vec_id", F.round(topics.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("sim"))
 
 
-@query("""WITH c AS (SELECT label::INTEGER AS topic_id, list(v ORDER BY i) AS t FROM (SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1),
-s AS (SELECT topic_id, e.vec_id::VARCHAR AS word, round(list_cosine_similarity(embedding::DOUBLE[], t), 6) AS score FROM embeddings e JOIN c ON c.topic_id = e.label)
-SELECT topic_id, (row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word))::INTEGER AS rank, word, score FROM s QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word) <= 10""")
+@query(f"""WITH {KEYWORDS}, c AS (SELECT label::INTEGER AS topic_id, list(v ORDER BY i) AS t FROM (SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1),
+gr AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(ws) AS word FROM tok UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM tok) WHERE word IN (SELECT word FROM kw)),
+wv AS (SELECT word, list(v ORDER BY i) AS v FROM (SELECT word, i, avg(x) AS v FROM (SELECT word, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM gr JOIN embeddings e ON e.vec_id = gr.doc_id) GROUP BY ALL) GROUP BY 1),
+s AS (SELECT topic_id, word, round(list_cosine_similarity(v, t), 6) AS score FROM kw JOIN wv USING (word) JOIN c USING (topic_id))
+SELECT topic_id, (row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, word))::INTEGER AS rank, word, score FROM s""")
 def q_keyword_rerank(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("label").cast("int").alias("topic_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return topics.rerank_keywords(e.select("topic_id", "word"), e.select("word", "vector"), topics.centroid_vectors(e, "topic_id", "vector"), 10)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("int").alias("topic_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    words = keywords(spark, sf_dir)
+    docs = topic_docs(spark, sf_dir).select("doc_id", "tokens").join(e.select("doc_id", "embedding"), "doc_id")
+    return topics.rerank_keywords(words, topics.word_vectors(docs, words), topics.centroid_vectors(e, "topic_id", "embedding"), 10)
 
 
 @query(f"""WITH {KEYWORDS}, w5 AS (SELECT topic_id, word FROM kw WHERE rank <= 10 AND NOT contains(word, ' ')), n AS (SELECT count(*) AS n FROM tok), o AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(ws) AS word FROM tok) WHERE word IN (SELECT word FROM w5)),
@@ -521,11 +529,30 @@ def q_npmi_coherence(spark, sf_dir):
     return topics.npmi_coherence(topic_docs(spark, sf_dir), keywords(spark, sf_dir).filter("not contains(word, ' ')"))
 
 
-@query()
+@query(f"""WITH {KEYWORDS}, kv AS (SELECT topic_id, word FROM kw WHERE NOT contains(word, ' ')), ds AS (SELECT doc_id, ws, greatest(len(ws) - 109, 1) AS m FROM tok), tn AS (SELECT sum(m)::DOUBLE AS n FROM ds),
+ox AS (SELECT doc_id, m, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM ds), oc AS (SELECT * FROM ox WHERE word IN (SELECT word FROM kv)),
+wn AS (SELECT DISTINCT doc_id, word, unnest(range(greatest(1, pos - 109), least(pos, m) + 1)) AS i FROM oc),
+co AS (SELECT x.word AS a, y.word AS b, count(*) AS c FROM wn x JOIN wn y ON x.doc_id = y.doc_id AND x.i = y.i GROUP BY 1, 2), si AS (SELECT a, c AS ca FROM co WHERE a = b),
+pa AS (SELECT x.topic_id, x.word AS a, y.word AS b FROM kv x JOIN kv y ON x.topic_id = y.topic_id),
+ra AS (SELECT pa.topic_id, pa.a, pa.b, coalesce(co.c, 0) / n AS p, sa.ca / n AS pa, sb.ca / n AS pb FROM pa LEFT JOIN co ON co.a = pa.a AND co.b = pa.b JOIN si sa ON sa.a = pa.a JOIN si sb ON sb.a = pa.b, tn),
+ve AS (SELECT topic_id, a, b, ln((p + 1e-12::DOUBLE) / (pa * pb)) / -ln(p + 1e-12::DOUBLE) AS v FROM ra), su AS (SELECT topic_id, b, sum(v) AS s FROM ve GROUP BY 1, 2),
+ea AS (SELECT topic_id, a, sum(v * s) / (sqrt(sum(v * v)) * sqrt(sum(s * s))) AS m FROM ve JOIN su USING (topic_id, b) GROUP BY 1, 2)
+SELECT topic_id, round(avg(m), 6) AS c_v FROM ea GROUP BY 1""")
 def q_c_v_coherence(spark, sf_dir):
     return topics.c_v_coherence(topic_docs(spark, sf_dir), keywords(spark, sf_dir).filter("not contains(word, ' ')"))
 
 
+@query("""WITH c AS (SELECT label::INTEGER AS topic_id, list(v ORDER BY i) AS t FROM (SELECT label, i, avg(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1),
+n AS (SELECT e.vec_id, e.embedding, c.topic_id FROM embeddings e, c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], c.t), c.topic_id) = 1),
+m AS (SELECT topic_id, i, avg(x) AS v FROM (SELECT topic_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM n) GROUP BY ALL)
+SELECT topic_id, i::INTEGER AS i, round(v, 6) AS v, k.n FROM m JOIN (SELECT topic_id, count(*) AS n FROM n GROUP BY 1) k USING (topic_id)""")
+def q_lloyd_step(spark, sf_dir):
+    """One step of k-means from the labels' means."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("topic_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    own, centres = topics.lloyd_step(e, topics.centroid_vectors(e, "topic_id", "vector"), "vector")
+    return centres.select("topic_id", F.posexplode("vector").alias("i", "v")).join(topics.topic_sizes(own), "topic_id").select("topic_id", "i", F.round("v", 6).alias("v"), "n")
+
+
 @query()
 def q_kmeans(spark, sf_dir):
     return topics.cluster(table(spark, sf_dir, "embeddings"), "embedding", clusterer="kmeans", k=10).select("vec_id", "topic_id", "probability")
@@ -533,7 +560,7 @@ def q_kmeans(spark, sf_dir):
 
 @query()
 def q_density_clusters(spark, sf_dir):
-    return topics.cluster(table(spark, sf_dir, "embeddings"), "embedding", clusterer="density", k=10).select("vec_id", "topic_id", "probability")
+    return topics.cluster(table(spark, sf_dir, "embeddings"), "embedding", clusterer="density", min_cluster_size=5, min_samples=4).select("vec_id", "topic_id", "probability")
 
 
 @query()
@@ -542,6 +569,19 @@ def q_gaussian_mixture(spark, sf_dir):
     return topics.cluster(small, "reduced", clusterer="gmm", k=5).select("vec_id", "topic_id", "probability")
 
 
+@query(f"WITH {ASSIGN}, top AS (SELECT topic_id FROM sizes WHERE topic_id <> -1 ORDER BY n DESC, topic_id LIMIT 5) SELECT vec_id, topic_id, topic_id IN (SELECT topic_id FROM top) AS member FROM asg")
+def q_top_members(spark, sf_dir):
+    given = assignments(spark, sf_dir).select("vec_id", "topic_id")
+    top = topics.first_topics(topics.topic_sizes(given.filter("topic_id <> -1")))
+    return topics.topic_members(given, top).withColumn("member", F.lit(True)).unionByName(topics.topic_members(given, top, member=False).withColumn("member", F.lit(False)))
+
+
+@query()
+def q_vis_points(spark, sf_dir):
+    given = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("topic_id"), "embedding", F.lit(1.0).alias("probability"))
+    return topics.vis_points(given, "embedding")
+
+
 @query()
 def q_embed(spark, sf_dir):
     return providers.hashing_embedder(topic_docs(spark, sf_dir)).select("doc_id", "embedding")
@@ -605,7 +645,13 @@ def q_masking_report(spark, sf_dir):
     return masking.masking_report(masked(spark, sf_dir), "doc_id")
 
 
-@query()
+def _greedy_sql(clash: str) -> str:
+    """The longest spans first, each kept if it meets none kept before."""
+    return f"len(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {clash})) > 0 THEN acc ELSE list_concat(acc, x) END))"
+
+
+@query(f"""WITH {MATCHES}, sl AS (SELECT doc_id, topic_id, list({{'s': s, 'e': e}} ORDER BY e - s DESC, s) AS l FROM mt GROUP BY 1, 2)
+SELECT doc_id, topic_id, len(l)::INTEGER AS n, ({_greedy_sql('k.s < x[1].e AND x[1].s < k.e')})::INTEGER AS strict, ({_greedy_sql('(x[1].s < k.s AND k.s < x[1].e) OR (x[1].s < k.e AND k.e < x[1].e)')})::INTEGER AS compat FROM sl""")
 def q_spans(spark, sf_dir):
     found = masking.collect_spans(matches(spark, sf_dir), "doc_id")
     return found.select("doc_id", "topic_id", F.size("spans").alias("n"), F.size(masking.choose_spans(F.col("spans"))).alias("strict"), F.size(masking.choose_spans(F.col("spans"), compat=True)).alias("compat"))
@@ -779,3 +825,17 @@ def q_probe_inversion(spark, sf_dir):
 SELECT sentence_id, label FROM d, k QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || sentence_id), sentence_id) <= 1000 // k""")
 def q_probe_depth_balanced(spark, sf_dir):
     return probing.balanced(probing.clause_depth(sentences(spark, sf_dir))).select("sentence_id", "label")
+
+
+def _task_sql(name: str) -> str:
+    return _SQL[f"q_probe_{name}"].partition("WITH")[2].strip()
+
+
+_BALANCED = "SELECT '{1}' AS task, sentence_id, label FROM (SELECT sentence_id, label::VARCHAR AS label, count(*) OVER (PARTITION BY label) AS c FROM {0}), (SELECT count(DISTINCT label) AS k FROM {0}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || sentence_id), sentence_id) <= 1000 // k"
+_DEPTHS = f"WITH {SENTENCES} SELECT sentence_id, least(len(regexp_extract_all(sentence, '[,;:(]')) + 1, 7)::INTEGER AS label FROM sent"
+
+
+@query("WITH " + ", ".join(f"t{i} AS (WITH {_task_sql(n)})" for i, n in enumerate(("bigram_shift", "word_contents", "odd_word", "inversion"))) + f", t4 AS ({_DEPTHS}) "
+       + " UNION ALL ".join(f"({_BALANCED.format(f't{i}', n)})" for i, n in enumerate(("bigram_shift", "word_contents", "odd_word", "coordinate_inversion", "clause_depth"))))
+def q_probe_balanced_sets(spark, sf_dir):
+    return probing.balanced_sets(sentences(spark, sf_dir)).select("task", "sentence_id", "label")

@@ -70,12 +70,18 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_model(path: str):
-    """A fitted pipeline of ``pyspark.ml``."""
+    """A fitted pipeline of ``pyspark.ml``, as ``write_model`` stored it."""
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(path)
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def spread(df: DataFrame, key: str, most: int = 1 << 30) -> DataFrame:
     """Deal the rows of a small input, such as a single file, to all cores.
 
@@ -113,6 +119,11 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_model(model, path: str) -> None:
+    """Store a fitted pipeline, over an older one."""
+    model.write().overwrite().save(path)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """One small text, such as a guide or a report."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
