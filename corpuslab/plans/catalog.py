@@ -15,6 +15,7 @@ from corpuslab import providers
 from corpuslab.config import PIPELINE
 from corpuslab.functions import text as T
 from corpuslab.operators import extract, infill, masking, pairs, probing, quality, splits, topics
+from corpuslab.session import checkpoint
 from corpuslab.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,10 +124,10 @@ def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """Each topic's best words and pairs of words, without stop words."""
+    """Each topic's best words and pairs of words, without stop words; a small table, made once."""
     words = topics.without_stopwords(F.col("tokens"), T.stopwords())
     grams = T.let(words, lambda w: F.concat(w, topics.ngrams(w, 2)))
-    return topics.top_keywords(topics.class_tf_idf(topic_docs(spark, sf_dir).select("topic_id", F.explode(grams).alias("word"))), n)
+    return checkpoint(topics.top_keywords(topics.class_tf_idf(topic_docs(spark, sf_dir).select("topic_id", F.explode(grams).alias("word"))), n))
 
 
 _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.stopwords()) + "]"
@@ -618,9 +619,9 @@ def q_phrase_match(spark, sf_dir):
 ONE_WORD = MATCHES.replace("kw.word = wn.phrase)", "kw.word = wn.phrase AND NOT contains(kw.word, ' '))")
 
 
-def masked(spark: SparkSession, sf_dir: str, variants: int = 6) -> DataFrame:
+def masked(spark: SparkSession, sf_dir: str, variants: int = 6, given: DataFrame | None = None) -> DataFrame:
     rows = topic_docs(spark, sf_dir).select("doc_id", "topic_id", F.col("text").alias("paragraph_text"))
-    words = keywords(spark, sf_dir).filter("not contains(word, ' ')")
+    words = (keywords(spark, sf_dir) if given is None else given).filter("not contains(word, ' ')")
     found = masking.collect_spans(masking.match_phrases(rows, words, id_col="doc_id", lengths=(1,)), "doc_id")
     spans = found.select("doc_id", masking.choose_spans(F.col("spans")).alias("spans"))
     return masking.mask_variants(rows.join(spans, "doc_id", "left"), id_col="doc_id", variants=variants)
@@ -675,7 +676,8 @@ pr AS (SELECT md5(original || chr(1) || masked) AS pair_id, topic_id, original,
 
 
 def masked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.sentence_pairs(masked(spark, sf_dir), keywords(spark, sf_dir), order=["doc_id", "variant_no"])
+    words = keywords(spark, sf_dir)
+    return pairs.sentence_pairs(masked(spark, sf_dir, given=words), words, order=["doc_id", "variant_no"])
 
 
 @query(f"WITH {PAIRED} SELECT pair_id, topic_id, original, masked, mask_ratio, length FROM pr")
