@@ -6,10 +6,13 @@ import hashlib
 import math
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +72,12 @@ _KINDS = re.compile(
 )
 # Beginnings of keys that may hold no digit; a text with one is searched as a whole.
 _WHOLE = ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ")
-# What a line needs to hold any of these: plain alternatives of literals, which scan fast.
-_HINTS = (re.compile("[0-9@]"), re.compile(f"{_GIVEN_RE}|{_TITLE_RE}|{_CAPS_RE}|{_CUE}"))
+# What a line needs to hold any of these: a digit or an at sign, or one of the words behind which names stand.
+_DIGIT = re.compile("[0-9@]")
+_WORDS = ahocorasick.Automaton()
+for _w in {*_GIVEN_OF, *(n.upper() for n in _GIVEN_OF), *_TITLE_OF, "y name is", "ame:", "egards,", "incerely,", "ours truly,", "igned,", "ritten by"}:
+    _WORDS.add_word(_w, len(_w))
+_WORDS.make_automaton()
 # The words that announce a password or key, and the most line breaks that may stand between one and its value.
 _ANNOUNCED, _BREAKS = re.compile("password|passwd|pwd|secret|token|key", re.I), 6
 
@@ -157,18 +164,19 @@ def detect(text: str | None) -> list[Entity]:
         pieces = [(0, text)]
     else:
         # a family name may stand on the line after a hint, and the name of a password on lines before its value
-        pieces, starts, at, until = [], [], 0, -1
-        before = _BREAKS if "\n" in text and _ANNOUNCED.search(text) else 0
-        for n, line in enumerate(text.split("\n")):
-            starts.append(at)
-            at += len(line) + 1
-            hint = _HINTS[0].search(line) or _HINTS[1].search(line)
+        lines = text.split("\n")
+        starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+        named = {bisect_right(starts, end) - 1 for end, _ in _WORDS.iter(text)}
+        pieces, until = [], -1
+        before = _BREAKS if len(lines) > 1 and _ANNOUNCED.search(text) else 0
+        for n, line in enumerate(lines):
+            hint = n in named or _DIGIT.search(line)
             if hint or n == until:
-                first = starts[max(0, n - before)] if hint else starts[n]
+                first, last = starts[max(0, n - before)] if hint else starts[n], starts[n + 1] - 1
                 if pieces and first <= pieces[-1][1] + 1:
-                    pieces[-1][1] = at - 1
+                    pieces[-1][1] = last
                 else:
-                    pieces.append([first, at - 1])
+                    pieces.append([first, last])
                 until = n + 1 if hint else until
         pieces = [(a, text[a:b]) for a, b in pieces]
     for at, piece in pieces:
