@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 from corpuslab.operators.graph import components
+from corpuslab.operators.neighbours import matrix, neighbours, squared
 from corpuslab.operators.splits import global_rank
 from corpuslab.session import checkpoint
 
@@ -277,58 +280,65 @@ def density_clusters(embeddings: DataFrame, vector: str, *, min_cluster_size: in
     Points with ``min_samples`` or more within ``reach`` (themselves included)
     are dense; dense points within it of one another are one cluster, and other points
     belong to the densest one in their reach.  Clusters of fewer than
-    ``min_cluster_size`` points are noise.  Without ``reach`` it is fitted so that
+    ``min_cluster_size`` points are noise, and so are vectors that are null,
+    empty or hold null or non-finite components.  Without ``reach`` it is fitted so that
     ``REACH_SHARE`` of a bounded sample of points are dense.  Neighbours are
-    found among equal locality-sensitive hashes, so no two sides are crossed.
+    exact (``neighbours``); equal vectors are one point with their number as weight.
     A row's probability is its part of the largest neighbourhood in its cluster; noise has 0.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    rows = checkpoint(embeddings.select(F.struct(*[F.col(f"`{c}`") for c in embeddings.columns if c not in ("topic_id", "probability")]).alias("_row"), F.col(vector).cast("array<double>").alias("_x"), F.monotonically_increasing_id().alias("_n")))
-    points = _with_vectors(rows.select("_n", "_x"), "_x")
-    if reach is None:
-        reach = _fit_reach(rows, min_samples, seed)
-    if not reach:
+    kind = embeddings.schema[vector].dataType.elementType.simpleString()
+    x = F.col(vector).cast(f"array<{'float' if kind == 'float' else 'double'}>")
+    finite = F.coalesce((F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
+    rows = checkpoint(embeddings.select(F.struct(*[F.col(f"`{c}`") for c in embeddings.columns if c not in ("topic_id", "probability")]).alias("_row"), F.when(finite, x).alias("_x"), F.monotonically_increasing_id().alias("_n")))
+    real = rows.filter("_x is not null")
+    seen = real.agg(F.count("*").alias("n"), F.min(F.size("_x")).alias("least"), F.max(F.size("_x")).alias("most")).first()
+    if seen["least"] != seen["most"]:
+        raise ValueError(f"vectors of {seen['least']} to {seen['most']} components")
+    if not seen["n"]:
         return rows.select("_row.*", F.lit(NOISE).alias("topic_id"), F.lit(0.0).alias("probability"))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=4 * reach, numHashTables=6, seed=seed).fit(points)
-    near = lsh.approxSimilarityJoin(points, points, reach * (1 + 1e-12), "d").select(F.col("datasetA._n").alias("u"), F.col("datasetB._n").alias("v"))
-    near = checkpoint(near.filter("u <> v"))
-    degree = checkpoint(near.groupBy("u").agg((F.count("*") + 1).alias("k")))
+    sample = _sample(real, seed)
+    reach = _fit_reach(real, sample, min_samples) if reach is None else reach
+    points = checkpoint(real.groupBy(F.col("_x").alias("x")).agg(F.min("_n").alias("u"), F.count("*").alias("w")))
+    near = checkpoint(neighbours(points, sample, reach, min_samples))
+    parts = points.select("u", "w", F.col("w").alias("k")).unionByName(near.filter("v is null").select("u", F.lit(0).alias("w"), "k"))
+    degree = checkpoint(parts.groupBy("u").agg(F.sum("w").alias("w"), F.sum("k").alias("k")))
     dense = degree.filter(F.col("k") >= min_samples)
-    links = near.join(dense.select("u"), "u").join(dense.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v")
-    roots = components(links.select("u", "v"))
+    at = lambda c: degree.select(F.col("u").alias(c), F.col("k").alias(f"k{c}"))
+    rated = checkpoint(near.filter("v is not null").select("u", "v").join(at("u"), "u").join(at("v"), "v").filter(F.greatest("ku", "kv") >= min_samples))
+    roots = components(rated.filter(F.least("ku", "kv") >= min_samples).select("u", "v"))
     lone = dense.join(roots, dense["u"] == roots["node"], "left_anti").select(F.col("u").alias("node"), F.col("u").alias("root"))
     core = checkpoint(roots.unionByName(lone))
-    edge = near.join(dense.select("u"), "u", "left_anti").join(dense.select(F.col("u").alias("v"), F.col("k").alias("kv")), "v").join(core.withColumnRenamed("node", "v"), "v")
-    edge = edge.groupBy("u").agg(F.max(F.struct("kv", (-F.col("root")).alias("r"))).alias("x")).select(F.col("u").alias("node"), (-F.col("x.r")).alias("root"))
-    member = core.unionByName(edge).join(degree.withColumnRenamed("u", "node"), "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.max("k").alias("most")).filter(F.col("n") >= min_cluster_size)
+    edge = rated.filter(F.least("ku", "kv") < min_samples).select(F.when(F.col("ku") < F.col("kv"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("ku") < F.col("kv"), F.col("v")).otherwise(F.col("u")).alias("node"), F.greatest("ku", "kv").alias("kv"))
+    edge = edge.join(core, "node").groupBy("u").agg(F.max(F.struct("kv", (-F.col("root")).alias("r"))).alias("x")).select(F.col("u").alias("node"), (-F.col("x.r")).alias("root"))
+    member = checkpoint(core.unionByName(edge).join(degree.withColumnRenamed("u", "node"), "node"))
+    sizes = member.groupBy("root").agg(F.sum("w").alias("n"), F.max("k").alias("most")).filter(F.col("n") >= min_cluster_size)
     numbered = global_rank(sizes.withColumn("_s", -F.col("n")), ["_s"], ["root"], "topic_id").select("root", "most", (F.col("topic_id") - 1).cast("int").alias("topic_id"))
-    named = member.join(numbered, "root").select(F.col("node").alias("_n"), "topic_id", (F.col("k") / F.col("most")).alias("probability"))
-    return rows.join(named, "_n", "left").select("_row.*", F.coalesce("topic_id", F.lit(NOISE)).alias("topic_id"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+    named = member.join(numbered, "root").select(F.col("node").alias("_u"), "topic_id", (F.col("k") / F.col("most")).alias("probability"))
+    copied = points.filter("w > 1").select(F.col("x").alias("_x"), F.col("u").alias("_first"))
+    known = rows.withColumn("_u", F.col("_n")) if copied.isEmpty() else rows.join(copied, "_x", "left").withColumn("_u", F.coalesce("_first", "_n"))
+    return known.join(named, "_u", "left").select("_row.*", F.coalesce("topic_id", F.lit(NOISE)).alias("topic_id"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
 
-def _fit_reach(rows: DataFrame, min_samples: int, seed: int) -> float:
-    """The distance within which ``REACH_SHARE`` of the sampled points have ``min_samples`` points, measured against all rows."""
-    import numpy as np
-    import pandas as pd
+def _sample(rows: DataFrame, seed: int) -> np.ndarray:
+    """The vectors ``_x`` of at most ``REACH_SAMPLE`` rows, by a hash."""
+    return np.array([r["_x"] for r in rows.orderBy(F.xxhash64(F.lit(seed), F.col("_x").cast("array<double>")), "_n").limit(REACH_SAMPLE).select("_x").collect()], float)
 
-    some = np.array([r["_x"] for r in rows.orderBy(F.xxhash64(F.lit(seed), "_x"), "_n").limit(REACH_SAMPLE).collect()], float)
-    if not len(some):
-        return 0.0
-    shared = rows.sparkSession.sparkContext.broadcast(some)
 
-    def nearest(parts):
+def _fit_reach(rows: DataFrame, sample: np.ndarray, min_samples: int) -> float:
+    """The distance within which ``REACH_SHARE`` of the sampled points have ``min_samples`` points, measured against all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(sample)
+
+    def nearest(batches):
         best = None
-        for part in parts:
-            x = np.stack(part["_x"].to_numpy()).astype(float)
-            d = np.sqrt(np.maximum((shared.value**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * shared.value @ x.T, 0))
-            best = d if best is None else np.hstack([best, d])
-            best = np.partition(best, min(min_samples, best.shape[1]) - 1, axis=1)[:, :min_samples]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                d = np.sqrt(squared(shared.value, matrix(batch.slice(k, 2048).column("_x"))))
+                best = d if best is None else np.hstack([best, d])
+                best = np.partition(best, min(min_samples, best.shape[1]) - 1, axis=1)[:, :min_samples]
         if best is not None:
-            yield pd.DataFrame({"i": np.repeat(np.arange(len(best)), best.shape[1]), "d": best.ravel()})
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best), dtype=np.int32), best.shape[1])), pa.array(best.ravel())], ["i", "d"])
 
-    each = rows.select("_x").mapInPandas(nearest, "i int, d double")
+    each = rows.select("_x").mapInArrow(nearest, "i int, d double")
     kth = each.groupBy("i").agg(F.get(F.slice(F.array_sort(F.collect_list("d")), min_samples, 1), F.lit(0)).alias("d")).filter("d is not null")
     return float(kth.agg(F.percentile("d", REACH_SHARE)).first()[0] or 0.0)
 
